@@ -2,7 +2,7 @@
 
 Documents start in a shard by hash, which is even.  In each round the documents of a group (equal texts, or the parts of
 a group that is larger than a shard) propose to move to the shard that holds most of their neighbours.  A shard admits
-proposals, whole buckets of groups at a time, up to its quota: its capacity less those that stay.  At last the
+proposals, whole buckets of groups at a time, up to its quota: its capacity less the linked documents that stay (single ones give way at no cost).  At last the
 law `rows` is made exact: every shard keeps its linked documents first and hands the surplus, single documents
 before linked ones, to shards with room.  Slots are ranks inside a shard, from prefix sums over small tables of bucket counts
 and a rank inside each bucket, so no task sees a whole shard.
@@ -27,7 +27,7 @@ def mod(x: Column, n: int | Column) -> Column:
     return F.pmod(x, n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def propagate(linked: DataFrame, single_counts: dict[int, int], capacity: int, scratch: Scratch, shards: int) -> DataFrame:
+def propagate(linked: DataFrame, capacity: int, scratch: Scratch, shards: int) -> DataFrame:
     """linked (row, part, label) with labels moved towards the neighbours' shards within the quotas."""
     for _ in range(ROUNDS):
         votes = linked.groupBy("part", "label").agg(F.count("*").alias("n"))
@@ -36,7 +36,7 @@ def propagate(linked: DataFrame, single_counts: dict[int, int], capacity: int, s
         counts = wish.groupBy("label", "to").agg(F.count("*").alias("n")).collect()
         if not any(r["label"] != r["to"] for r in counts):
             break
-        stay = {s: single_counts.get(s, 0) + sum(r["n"] for r in counts if r["label"] == r["to"] == s) for s in range(shards)}
+        stay = {s: sum(r["n"] for r in counts if r["label"] == r["to"] == s) for s in range(shards)}
         room = F.element_at(F.array(*(F.lit(max(0, capacity - stay[s])) for s in range(shards))), F.col("to") + 1)
         asked = wish.where("label <> to").groupBy("to", "bucket").agg(F.count("*").alias("n"))
         admitted = asked.withColumn("run", F.sum("n").over(Window.partitionBy("to").orderBy("bucket"))).where(F.col("run") <= room).select(F.col("to").alias("_to"), F.col("bucket").alias("_bucket"), F.lit(True).alias("_in"))
@@ -57,9 +57,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pieces = F.ceil(F.col("members") / F.lit(max(1, capacity)))
     linked = rows.join(groups, F.col("group") == F.col("_group")).select("row", F.xxhash64("group", mod(F.xxhash64("row", F.lit(2)), pieces)).alias("part"), F.col("home").alias("label"), "members")
     linked = scratch.table(linked, "linked")
-    homes = {r["home"]: r["count"] for r in rows.groupBy("home").count().collect()}
-    tied = {r["label"]: r["count"] for r in linked.groupBy("label").count().collect()}
-    moved = propagate(linked.select("row", "part", "label"), {s: n - tied.get(s, 0) for s, n in homes.items()}, capacity, scratch, shards)
+    moved = propagate(linked.select("row", "part", "label"), capacity, scratch, shards)
     spread = F.ceil(F.col("members") / F.lit(BUCKET_ROWS))
     after = moved.join(linked.select(F.col("row").alias("_row"), "members"), F.col("row") == F.col("_row")).select(F.col("row").alias("_row"), "part", "label", mod(F.xxhash64("part") + F.pmod(F.xxhash64("row", F.lit(3)), spread), buckets).alias("_bucket"))
     placed = rows.join(after, F.col("row") == F.col("_row"), "left").select("row", "doc_id", "size", "text_crc32", F.coalesce("label", "home").alias("label"), F.col("part").isNull().alias("single"), F.coalesce("part", "row").alias("part"), F.coalesce("_bucket", mod(F.xxhash64("row", F.lit(4)), buckets)).alias("bucket"))

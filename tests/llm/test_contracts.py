@@ -297,7 +297,7 @@ def test_sharding_keeps_groups(spark):
     for r in got:
         homes[text[r.doc_id]].add(r.shard)
     assert max(n.values()) - min(n.values()) <= 1
-    assert sum(len(v) > 1 for k, v in homes.items() if k.startswith("group")) <= 10 and len(homes["hot"]) <= 12
+    assert sum(len(v) > 1 for k, v in homes.items() if k.startswith("group")) <= 4 and len(homes["hot"]) <= 8
 
 
 def test_licenses(spark):
