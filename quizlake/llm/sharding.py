@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation [native].
 
 Documents start in a shard by hash, which is even.  In each round the documents of a group (equal texts, or the parts of
-a group that is larger than a shard) propose to move to the shard that holds most of their neighbours.  A shard admits
+a group that is larger than a shard) propose to move to the shard that holds most of their neighbours, of those with room for the rest.  A shard admits
 proposals, whole buckets of groups at a time, up to its quota: its capacity less the linked documents that stay (single ones give way at no cost).  At last the
 law `rows` is made exact: every shard keeps its linked documents first and hands the surplus, single documents
 before linked ones, to shards with room.  Slots are ranks inside a shard, from prefix sums over small tables of bucket counts
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch
 
-SHARDS, ROUNDS, ADMIT, BUCKET_ROWS = 16, 3, 256, 20_000
+SHARDS, ROUNDS, ADMIT, BUCKET_ROWS = 16, 5, 256, 20_000
 
 
 def mod(x: Column, n: int | Column) -> Column:
@@ -30,8 +30,10 @@ def mod(x: Column, n: int | Column) -> Column:
 def propagate(linked: DataFrame, capacity: int, scratch: Scratch, shards: int) -> DataFrame:
     """linked (row, part, label) with labels moved towards the neighbours' shards within the quotas."""
     for _ in range(ROUNDS):
-        votes = linked.groupBy("part", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("part").alias("_part")).agg(F.max(F.struct("n", F.xxhash64("part", "label").alias("tie"), "label"))["label"].alias("to"))
+        held = {r["label"]: r["count"] for r in linked.groupBy("label").count().collect()}
+        free = F.element_at(F.array(*(F.lit(capacity - held.get(s, 0)) for s in range(shards))), F.col("label") + 1)
+        votes = linked.groupBy("part", "label").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("part")))
+        best = votes.groupBy(F.col("part").alias("_part")).agg(F.max(F.struct((free >= F.col("all") - F.col("n")).alias("fits"), "n", F.xxhash64("part", "label").alias("tie"), "label"))["label"].alias("to"))
         wish = linked.join(best, F.col("part") == F.col("_part")).select("row", "part", "label", "to", mod(F.xxhash64("part", F.lit(7)), ADMIT).alias("bucket"))
         counts = wish.groupBy("label", "to").agg(F.count("*").alias("n")).collect()
         if not any(r["label"] != r["to"] for r in counts):
