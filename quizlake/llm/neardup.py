@@ -7,9 +7,9 @@ merged, and postings of a single node are skipped.  Matching pairs are confirmed
 100 * intersection >= 85 * union.
 
 No list of postings is expanded into all its pairs while its nodes are one component.  In each of ROUNDS rounds every list
-compares its most central node with those outside of the node's component; lists inside one component are skipped from then
-on.  What then still lies in different components is compared in full, so that no link between components is lost
-that the signatures show.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
+compares one node, at first its most central one, with those outside of the node's component; lists inside one component are skipped from then
+on.  What then still lies in different components is compared in full, but for pairs that cannot be similar enough because too many
+of a set's shingles occur in no other listed set; so no link between components is lost that the signatures show.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
 one of 0.9 with 1e-6.
 
 Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if their
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import U64, Scratch, grams, hasher, mix, prepare, space_words
 
-SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 4
+SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 6
 PREFIX = K - MATCH + 1
 BITS = 1 << 26
 
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = F.slice("shared", 1, F.size("shared") - F.lit(MATCH - 1))
     central = F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["freq"])
     lists = shared.where(F.size("shared") >= MATCH).select("node", central.alias("central"), F.explode(prefix["key"]).alias("key"))
-    lists = scratch.table(lists.withColumn("label", F.col("node")), "lists")
+    lists = lists.withColumn("label", F.col("node")).join(nodes.select("node", "n", F.col("n").alias("common")), "node")
+    lists = scratch.table(lists, "lists")
     chosen = lists.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_id")
     chosen = scratch.table(chosen, "chosen")
     full = scratch.table(_full_sets(docs, chosen), "full")
@@ -145,10 +146,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS + 1):
         rows = lists.alias("l")
         if turn < ROUNDS:
-            hubs = lists.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("central", F.negative("node").alias("order"), "node", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            found = rows.join(hubs, F.col("l.key") == F.col("_key")).where("l.label <> hub.label").select(F.least("l.node", "hub.node").alias("a"), F.greatest("l.node", "hub.node").alias("b"))
+            # the most central node first, then any: each list draws its own
+            order = F.struct("central", F.negative("node").alias("order"), *LISTED) if not turn else F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), *LISTED)
+            hubs = lists.groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+            found = rows.join(hubs, (F.col("l.key") == F.col("_key")) & (F.col("l.label") != F.col("r.label")) & _able())
         else:
-            found = rows.join(lists.alias("r"), F.col("l.key") == F.col("r.key")).where("l.node < r.node AND l.label <> r.label").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            found = rows.join(lists.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & _able())
+        found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = scratch.table(_matching(found.distinct(), small), "pairs")
         linked = scratch.table(confirmed(pairs, full), "linked")
         if not linked.isEmpty():
@@ -158,12 +162,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = scratch.table(labels.join(moved, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")), "of")
         if turn < ROUNDS:
             # without the hubs, whose pairs are done, and the lists that are one component now
-            gone = hubs.select("_key", F.col("hub.node").alias("_hub"))
-            rest = lists.drop("label").join(gone, F.col("key") == F.col("_key")).where("node <> _hub").select("node", "central", "key").join(labels, "node")
+            gone = hubs.select("_key", F.col("r.node").alias("_hub"))
+            rest = lists.drop("label").join(gone, F.col("key") == F.col("_key")).where("node <> _hub").drop("_key", "_hub").join(labels, "node")
             mixed = rest.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("_key")
-            lists = scratch.table(rest.join(mixed, F.col("key") == F.col("_key")).select("node", "central", "key", "label"), "lists")
+            lists = scratch.table(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key"), "lists")
             if lists.isEmpty():
                 break
+            if not turn:
+                lists = scratch.table(_held_in_common(lists, full), "bounded")
     placed = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("component_id"))
     classes = placed.join(least, F.col("label") == F.col("_label")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("copies") > 1)).select(F.col("set_id").alias("_set"), "component_id", F.lit(True).alias("_in"))
@@ -186,6 +192,30 @@ def _matching(pairs: DataFrame, small: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+LISTED = ("node", "label", "n", "common")
+
+
+def _able():
+    """Whether nodes l and r can be similar enough, by their set sizes and what they hold in common with any other."""
+    most = F.least("l.common", "r.common")
+    return (100 * most) >= (PERCENT * (F.col("l.n") + F.col("r.n") - most))
+
+
+def _held_in_common(lists: DataFrame, full: DataFrame) -> DataFrame:
+    """lists with common, how many of a node's n shingles another node of the lists has too: an intersection cannot be
+    larger, which rules out most of the pairs that are left."""
+
+    def run(batches):
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                found = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], ["node", "shingle"])
+
+    each = full.join(lists.select("node").distinct(), "node").select("node", "shingles").mapInArrow(run, "node long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(100 * F.col("common") >= PERCENT * F.col("n"))
+
+
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """node, shingles for the chosen nodes (node, doc_id, set_id), from a second look at their texts."""
     sent = docs.sparkSession.sparkContext.broadcast(marked(chosen, "doc_id"))
