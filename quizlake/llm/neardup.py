@@ -8,8 +8,8 @@ merged, and postings of a single node are skipped.  Matching pairs are confirmed
 
 No list of postings is expanded into all its pairs while its nodes are one component.  In each of ROUNDS rounds every list
 compares one node, at first its most central one, with those outside of the node's component; lists inside one component are skipped from then
-on.  What then still lies in different components is compared in full, but for pairs that cannot be similar enough because too many
-of a set's shingles occur in no other listed set; so no link between components is lost that the signatures show.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
+on.  What then still lies in different components is compared in full: pairs that share a shingle which at most RARE of these nodes have, by
+that shingle, and others by their postings if the shingles that more nodes have would suffice; so no link between components is lost that the signatures show.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
 one of 0.9 with 1e-6.
 
 Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if their
@@ -27,7 +27,7 @@ from .base import U64, Scratch, grams, hasher, mix, prepare, space_words
 
 SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 6
 PREFIX = K - MATCH + 1
-BITS = 1 << 26
+BITS, RARE = 1 << 26, 10
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -151,7 +151,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             hubs = lists.groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             found = rows.join(hubs, (F.col("l.key") == F.col("_key")) & (F.col("l.label") != F.col("r.label")) & _able())
         else:
-            found = rows.join(lists.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & _able())
+            often, rare = _by_holders(scratch, lists, full)
+            rows = scratch.table(lists.drop("common").join(often, "node", "left").withColumn("common", F.coalesce("often", F.lit(0))).drop("often"), "bounded")
+            rare = rare.join(labels, "node")
+            apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
+            columns = [F.col("l.node").alias("node_l"), F.col("r.node").alias("node_r")]
+            by_key = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & _able()).select(*columns)
+            by_rare = rare.alias("l").join(rare.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & apart).select(*columns)
+            found = by_key.union(by_rare).select(F.struct(F.col("node_l").alias("node")).alias("l"), F.struct(F.col("node_r").alias("node")).alias("r"))
         found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = scratch.table(_matching(found.distinct(), small), "pairs")
         linked = scratch.table(confirmed(pairs, full), "linked")
@@ -201,9 +208,8 @@ def _able():
     return (100 * most) >= (PERCENT * (F.col("l.n") + F.col("r.n") - most))
 
 
-def _held_in_common(lists: DataFrame, full: DataFrame) -> DataFrame:
-    """lists with common, how many of a node's n shingles another node of the lists has too: an intersection cannot be
-    larger, which rules out most of the pairs that are left."""
+def _held(lists: DataFrame, full: DataFrame) -> DataFrame:
+    """node, shingle for the nodes of the lists."""
 
     def run(batches):
         for batch in batches:
@@ -211,11 +217,25 @@ def _held_in_common(lists: DataFrame, full: DataFrame) -> DataFrame:
                 found = np.frombuffer(raw, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], ["node", "shingle"])
 
-    each = full.join(lists.select("node").distinct(), "node").select("node", "shingles").mapInArrow(run, "node long, shingle long")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return full.join(lists.select("node").distinct(), "node").select("node", "shingles").mapInArrow(run, "node long, shingle long")
+
+
+def _held_in_common(lists: DataFrame, full: DataFrame) -> DataFrame:
+    """lists with common, how many of a node's n shingles another node of the lists has too: an intersection cannot be
+    larger, which rules out nodes and pairs."""
+    alone = _held(lists, full).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count("*").alias("own"))
     return lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(100 * F.col("common") >= PERCENT * F.col("n"))
 
 
+def _by_holders(scratch: Scratch, lists: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many of a node's shingles more than RARE nodes have, and the shingles that 2 to RARE nodes have.  Two nodes
+    share one of the latter or have no more in common than the former."""
+    held = scratch.table(_held(lists, full), "held")
+    holders = held.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("holders")).where("holders > 1")
+    rows = scratch.table(held.join(holders, F.col("shingle") == F.col("_shingle")).select("node", "shingle", "holders"), "holders")
+    return rows.where(F.col("holders") > RARE).groupBy("node").agg(F.count("*").alias("often")), rows.where(F.col("holders") <= RARE).select("node", "shingle")
+
+
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """node, shingles for the chosen nodes (node, doc_id, set_id), from a second look at their texts."""
     sent = docs.sparkSession.sparkContext.broadcast(marked(chosen, "doc_id"))
