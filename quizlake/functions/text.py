@@ -59,8 +59,8 @@ def regional_ratio(x) -> Column:
 
 def strip_regional(x) -> Column:
     """Without regional letters; blanks squeezed, empty lines dropped."""
-    lines = F.split(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"[ऀ-ॿఀ-౿]+", " "), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r"[ \t]+", " "))), lambda s: s != ""), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"[\u0900-\u097F\u0C00-\u0C7F]", ""), r"[ \t]{2,}", " "), "\n")
+    return F.array_join(F.filter(F.transform(lines, strip), lambda s: s != ""), "\n")
 
 
 def filled(*options) -> Column:
