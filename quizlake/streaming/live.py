@@ -17,6 +17,7 @@ from ..functions.text import strip
 
 # Seconds, requests without and with a login, answers kept.
 WINDOW_S, ANONYMOUS, SIGNED_IN, RECENT = 60, 120, 300, 20
+LATE = "10 minutes"
 DAY = datetime.timedelta(days=1)
 
 
@@ -43,8 +44,8 @@ def _decided(rows: pd.DataFrame, seen: list[float]) -> tuple[list[float], list[b
     return seen, out
 
 
-def _timed(requests: DataFrame) -> DataFrame:
-    return requests.select("client", "request_id", (F.unix_micros("at") / 1e6).alias("at_s"), F.coalesce("signed_in", F.lit(False)).alias("signed_in"))
+def _timed(requests: DataFrame, *more: str) -> DataFrame:
+    return requests.select(*more, "client", "request_id", (F.unix_micros("at") / 1e6).alias("at_s"), F.coalesce("signed_in", F.lit(False)).alias("signed_in"))
 
 
 def limited(requests: DataFrame) -> DataFrame:
@@ -68,7 +69,8 @@ def limited(requests: DataFrame) -> DataFrame:
 
 
 def limited_stream(requests: DataFrame) -> DataFrame:
-    """The same for a stream, in the order of its micro-batches; a client idle for a window is forgotten."""
+    """The same for a stream, in the order of its micro-batches.  A client idle for two windows is forgotten, by the times
+    of the requests; those that come later than LATE get no decision."""
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -78,11 +80,11 @@ def limited_stream(requests: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["at_s", "request_id"])
         seen, ok = _decided(rows, seen)
         state.update((seen,))
-        state.setTimeoutDuration(2 * WINDOW_S * 1000)
+        state.setTimeoutTimestamp(max(int((seen[-1] + 2 * WINDOW_S) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": rows["request_id"], "admitted": ok})
 
     kind = dict(requests.dtypes)["request_id"]
-    return _timed(requests).groupBy("client").applyInPandasWithState(step, f"request_id {kind}, admitted boolean", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _timed(requests.withWatermark("at", LATE), "at").groupBy("client").applyInPandasWithState(step, f"request_id {kind}, admitted boolean", "seen array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def advance(state: tuple, day: datetime.date, correct: bool, entry: str) -> tuple:

@@ -34,7 +34,7 @@ def test_limited(spark, tmp_path):
     assert not all(want.values())
     assert {r.request_id: r.admitted for r in live.limited(df).collect()} == want
     q = live.limited_stream(stream(spark, df, tmp_path)).writeStream.format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert {r.request_id: r.admitted for r in spark.table("limited").collect()} == want
 
 
@@ -42,7 +42,7 @@ def test_running_stats(spark, tmp_path):
     rows = [("u", k, T0 + dt.timedelta(days=d), k % 3 == 0) for k, d in enumerate([0, 0, 1, 2, 5, 6, 6])]
     df = spark.createDataFrame(rows, "uid string, attempt_id long, at timestamp, is_correct boolean")
     q = live.running_stats(stream(spark, df, tmp_path)).writeStream.format("memory").queryName("stats").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     [got] = spark.table("stats").collect()
     assert (got.attempted, got.correct, got.streak, got.last_day, got.recent) == (7, 3, 2, dt.date(2024, 1, 7), list("6543210"))
 
@@ -51,8 +51,8 @@ def test_flags_and_resume(spark, tmp_path):
     df = spark.createDataFrame([("q", u) for u in "aabc"] + [("r", "a")], "question_id string, user_id string")
     src = stream(spark, df, tmp_path)
     q = live.flag_counts(src).writeStream.format("memory").queryName("flags").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("flags").collect()} == {("q", 3, True), ("r", 1, False)}
     for _ in range(2):  # the second run finds nothing new
-        live.resume(src, str(tmp_path / "out"), str(tmp_path / "d")).awaitTermination(120)
+        live.resume(src, str(tmp_path / "out"), str(tmp_path / "d")).awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / "out")).count() == 5
