@@ -9,7 +9,9 @@ merged, and postings of a single node are skipped.  Matching pairs are confirmed
 No list of postings is expanded into all its pairs while its nodes are one component.  In each of ROUNDS rounds every list
 compares one node, at first its most central one, with those outside of the node's component; lists inside one component are skipped from then
 on.  What then still lies in different components is compared in full: pairs that share a shingle which at most RARE of these nodes have, by
-that shingle, and others by their postings if the shingles that more nodes have would suffice; so no link between components is lost that the signatures show.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
+that shingle, and others by their postings if the shingles that more nodes have would suffice; so no link between components is lost that the signatures show.
+Before two sets are fetched, their counts over BUCKETS ranges of hashes bound the intersection from above: what cannot reach the
+similarity goes no further, and no link is lost.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
 one of 0.9 with 1e-6.
 
 Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if their
@@ -27,7 +29,7 @@ from .base import U64, Scratch, grams, hasher, mix, prepare, space_words
 
 SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 6
 PREFIX = K - MATCH + 1
-BITS, RARE = 1 << 26, 10
+BITS, RARE, BUCKETS = 1 << 26, 10, 256
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -39,6 +41,11 @@ def sets(batch: pa.RecordBatch, hashed) -> list[np.ndarray]:
     return [shingles(hashed(space_words(t))) for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def spread(s: np.ndarray) -> bytes:
+    """How many hashes of a set lie in each of BUCKETS equal ranges; sets share at most the sum of the lesser counts."""
+    return np.bincount((s >> U64(56)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes()
+
+
 def set_id(s: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         return mix(s).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), initial=U64(0)).tobytes()
@@ -137,11 +144,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = shared.where(F.size("shared") >= MATCH).select("node", central.alias("central"), F.explode(prefix["key"]).alias("key"))
     lists = lists.withColumn("label", F.col("node")).join(nodes.select("node", "n", F.col("n").alias("common")), "node")
     lists = scratch.table(lists, "lists")
-    chosen = lists.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_id")
+    chosen = lists.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_id", "n", "sig")
     chosen = scratch.table(chosen, "chosen")
     full = scratch.table(_full_sets(docs, chosen), "full")
     scratch.drop("posted")
-    small = nodes.select("node", "n", "sig")
+    small = full.select("node", "n", "sig", "spread")
     labels = chosen.select("node", F.col("node").alias("label"))
     for turn in range(ROUNDS + 1):
         rows = lists.alias("l")
@@ -187,16 +194,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, small: DataFrame) -> DataFrame:
-    """The pairs with at least MATCH colliding coordinates and set sizes that allow the similarity."""
-    x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    """The pairs with at least MATCH colliding coordinates, and set sizes and spreads that allow the similarity."""
+    x, y = (small.select(F.col("node").alias(c), *(F.col(k).alias(k + c) for k in ("n", "sig", "spread"))) for c in "ab")
 
     def run(batches):
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((p == q).sum(axis=1) >= MATCH, pa.bool_()))
+            rows = lambda c, width: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, width)  # noqa: B023, E731
+            hits = (rows("siga", K) == rows("sigb", K)).sum(axis=1)
+            most = np.minimum(rows("spreada", BUCKETS), rows("spreadb", BUCKETS)).sum(axis=1, dtype=np.int64)
+            able = 100 * most >= PERCENT * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb")) - most)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((hits >= MATCH) & able, pa.bool_()))
 
     near = (100 * F.least("na", "nb")) >= (PERCENT * F.greatest("na", "nb"))
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb", "siga", "sigb", "spreada", "spreadb").mapInArrow(run, "a long, b long")
 
 
 LISTED = ("node", "label", "n", "common")
@@ -237,7 +247,7 @@ def _by_holders(scratch: Scratch, lists: DataFrame, full: DataFrame) -> tuple[Da
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, shingles for the chosen nodes (node, doc_id, set_id), from a second look at their texts."""
+    """node, n, sig, spread, shingles for the chosen nodes (node, doc_id, set_id, n, sig), from a second look at their texts."""
     sent = docs.sparkSession.sparkContext.broadcast(marked(chosen, "doc_id"))
 
     def run(batches):
@@ -248,11 +258,11 @@ def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(keep))
             for i in range(0, batch.num_rows, 200):
                 found = sets(batch.slice(i, 200), hashed)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["_set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.binary()), pa.array([spread(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["_set", "spread", "shingles"])
 
     bit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))), F.lit(BITS))
-    seen = docs.select("text", bit.alias("bit")).mapInArrow(run, "_set binary, shingles binary")
-    return seen.join(chosen, F.col("_set") == F.col("set_id")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    seen = docs.select("text", bit.alias("bit")).mapInArrow(run, "_set binary, spread binary, shingles binary")
+    return seen.join(chosen, F.col("_set") == F.col("set_id")).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "sig", "spread", "shingles")))
 
 
 def distinct(docs: DataFrame) -> DataFrame:
