@@ -15,11 +15,11 @@ AS_OF = "2024-01-30"
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str):
+def query(sql: str, reserved: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = re.sub(r'\bat\b', '"at"', sql)  # a reserved word there
+            ORACLE_SQL[f.__name__] = re.sub(r'\bat\b', '"at"', sql) if reserved else sql  # a reserved word there
         return f
 
     return add

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from quizlake.plans.banks import ORACLE_SQL, QUERIES
+from quizlake.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations"
