@@ -1,7 +1,8 @@
 """License notices: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment judges them.
 
 Templates and texts are cut into words of ASCII letters, digits and bytes from 0x80 up, lower-cased.  The index holds
-every 3-gram that is the smallest of 3 consecutive ones, so 5 shared words cannot be missed.  For each candidate the
+every 3-gram that is the smallest of 3 consecutive ones, so 5 shared words cannot be missed; the 3-grams of templates
+with fewer words are looked up at every place of a text, so 3 shared words in a row cannot be missed there.  For each candidate the
 hits of one diagonal band are gathered and the stretch of the text around them is aligned with the template inside
 the band (longest common subsequence of words within BAND of the diagonal).  Coverage is the share of the template's
 words that are matched in order.  A finding needs a coverage of MIN_COVERAGE; a template's findings in one text don't
@@ -26,6 +27,7 @@ SCHEMA = "doc_id long, license string, template_words long, matched_words long,
 
 #: Public licence notices.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -70,29 +72,42 @@ def align(text: list, template: list, shift: int, band: int = BAND) -> list[tupl
             q, c = q + 1, c - 1
             if c < 0:
                 q, c = q, 0
+    for i in range(len(pairs) - 2, -1, -1):  # each word as late as the next one allows, so that a notice isn't begun by a common word before it
+        q = pairs[i][1]
+        pairs[i] = next((p, q) for p in range(min(pairs[i + 1][0] - 1, q + shift + band), -1, -1) if text[p] == template[q])
     return pairs
 
 
 def index(templates: dict[str, str]) -> dict:
-    hashed, where, words = hasher(), [], {}
+    hashed, where, short, words = hasher(), [], [], {}
     for name, text in templates.items():
         words[name] = alnum_words(text.encode())
         g = grams(hashed(words[name]), GRAM)
-        where += [(g[q], name, int(q)) for q in winnow(g, KEEP)]
-    where.sort(key=lambda x: x[0])
-    return {"words": words, "keys": np.array([x[0] for x in where], np.uint64), "at": [(x[1], x[2]) for x in where]}
+        if len(words[name]) < GRAM + KEEP - 1:
+            short += [(g[q], name, q) for q in range(len(g))]
+        else:
+            where += [(g[q], name, int(q)) for q in winnow(g, KEEP)]
+    return {"words": words, "long": table(where), "short": table(short)}
+
+
+def table(where: list[tuple]) -> tuple[np.ndarray, list[tuple[str, int]]]:
+    where = sorted(where, key=lambda x: x[0])
+    return np.array([x[0] for x in where], np.uint64), [(x[1], x[2]) for x in where]
+
+
+def hits(g: np.ndarray, places: np.ndarray, inverted: tuple) -> list[tuple[str, int]]:
+    """Template and diagonal of every 3-gram of the text at these places that the table holds."""
+    keys, at = inverted
+    lo, hi = (np.searchsorted(keys, g[places], side) for side in ("left", "right"))
+    return [(at[j][0], int(places[i]) - at[j][1]) for i in np.flatnonzero(hi > lo) for j in range(lo[i], hi[i])]
 
 
 def find(ix: dict, words: list[bytes], h: np.ndarray) -> list[tuple[str, list[tuple[int, int]]]]:
     """Findings in the words of one text: template and matched pairs, by first word."""
     g = grams(h, GRAM)
-    places = winnow(g, KEEP)
     diagonals: dict[str, set[int]] = defaultdict(set)
-    lo, hi = (np.searchsorted(ix["keys"], g[places], side) for side in ("left", "right"))
-    for i in np.flatnonzero(hi > lo):
-        for j in range(lo[i], hi[i]):
-            name, q = ix["at"][j]
-            diagonals[name].add(int(places[i]) - q)
+    for name, shift in hits(g, winnow(g, KEEP), ix["long"]) + hits(g, np.arange(len(g)), ix["short"]):
+        diagonals[name].add(shift)
     found = []
     for name, shifts in diagonals.items():
         template, ordered = ix["words"][name], sorted(shifts)

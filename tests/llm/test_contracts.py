@@ -308,6 +308,15 @@ def test_licenses(spark):
     assert got[3].license == "MIT" and got[3].n_spans >= 2 and 0.95 < got[3].coverage < 1 and got[6].license == "CC-BY-NC-short"
 
 
+def test_licenses_rights_reserved(spark):
+    around = [" ".join(f"w{(i * 37 + k) % 101}" for k in range(12)) for i in range(40)]
+    rows = [(i, f"{a}\nAll rights reserved.\n{a}") for i, a in enumerate(around)] + [(50, "All of us have rights. All rights reserved."), (51, "all rights"), (52, licenses.TEMPLATES["Proprietary"])]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {*range(40), 50, 52} and got[52].license == "Proprietary"
+    for i, text in rows[:41]:
+        assert got[i].license == "All-rights-reserved" and text[got[i].start : got[i].end] == "All rights reserved" and got[i].n_spans == 1
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
