@@ -124,7 +124,8 @@ def structural_threshold(n) -> Column:
     return F.greatest(F.lit(3), F.ceil(col(n) * 0.05)).cast("long")
 
 
-def level(xp, steps: tuple[int, ...] = (0, 100, 300, 600, 1000, 1500, 2500, 4000, 6000, 10000)) -> Column:
+def level(xp, steps: tuple[int, ...] = (0, 500, 1200, 2500, 5000, 10000)) -> Column:
+    """The reference's steps; its last threshold (20,000) opens no level."""
     out = F.lit(1)
     for k, s in enumerate(steps):
         out = F.when(col(xp) >= s, F.lit(k + 1)).otherwise(out)

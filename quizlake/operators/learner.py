@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import commission, percent
+from ..functions.text import commission, level, percent
 
 REWARD = {"right": 10, "wrong": 2}
 LATEST = (F.desc, "at", "attempt_id")
@@ -104,6 +104,24 @@ def badges(attempts: DataFrame, steps: tuple[int, ...] = (1, 10, 50, 100)) -> Da
     return out.select("*", *((F.col("attempted") >= s).alias(f"attempted_{s}") for s in steps), ((F.col("attempted") >= 20) & (F.col("correct") * 100 >= 80 * F.col("attempted"))).alias("sharp"))
 
 
+def all_badges(attempts: DataFrame) -> DataFrame:
+    """The twelve badges of a user; the streak is the run of days that ends on the last active one, and a null subject is one of its own."""
+    rounded = F.floor(F.col("correct") / F.col("total") * 100 + 0.5)
+    subjects = attempts.groupBy("uid", "subject").agg(F.count("*").alias("total"), F.sum(F.coalesce(F.col("is_correct"), F.lit(False)).cast("int")).alias("correct")).withColumn("accuracy", rounded)
+    users = subjects.groupBy("uid").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"), F.count("*").alias("subjects"), F.coalesce(F.max(F.when(F.col("total") >= 5, F.col("accuracy"))), F.lit(0)).alias("best"))
+    days = attempts.select("uid", F.to_date("at").alias("day")).distinct()
+    runs = days.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy("uid").orderBy("day")))).groupBy("uid", "island").agg(F.max("day").alias("last"), F.count("*").alias("n"))
+    users = users.join(runs.groupBy("uid").agg(F.max_by("n", "last").alias("streak")), "uid", "left")
+    users = users.withColumn("accuracy", rounded).withColumn("xp", F.col("correct") * 10 + (F.col("total") - F.col("correct")) * 2).withColumn("level", level("xp"))
+    n, accuracy, at_level = F.col("total"), F.col("accuracy"), F.col("level")
+    earned = {
+        "first10": n >= 10, "first100": n >= 100, "first500": n >= 500, "streak7": F.col("streak") >= 7, "streak30": F.col("streak") >= 30,
+        "acc70": (accuracy >= 70) & (n >= 20), "acc85": (accuracy >= 85) & (n >= 50), "subject_pro": F.col("best") >= 90,
+        "level3": at_level >= 3, "level5": at_level >= 5, "xp5000": F.col("xp") >= 5000, "all_subjects": F.col("subjects") >= 5,
+    }
+    return users.select("uid", "xp", "level", "streak", *(c.alias(name) for name, c in earned.items()))
+
+
 def mock_result(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Per attempt: right, wrong and skipped, without deleted questions.  questions (question_id, subject, accepted, deleted)."""
     rows = questions.where(~F.coalesce("deleted", F.lit(False))).join(answers, "question_id", "left")

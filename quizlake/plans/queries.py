@@ -122,6 +122,11 @@ def a33_badges(spark, sf):
     return L.badges(attempts(spark, sf))
 
 
+@query(f"WITH {ATT}, s AS (SELECT uid, subject, count(*) AS n, {OK} AS r FROM a GROUP BY 1, 2), u AS (SELECT uid, sum(n)::BIGINT AS n, sum(r)::BIGINT AS r, count(*) AS subjects, coalesce(max(floor(r::DOUBLE / n * 100 + 0.5)) FILTER (n >= 5), 0) AS best FROM s GROUP BY 1), d AS (SELECT DISTINCT uid, at::DATE AS day FROM a), i AS (SELECT uid, day, day - (row_number() OVER (PARTITION BY uid ORDER BY day))::INT AS g FROM d), k AS (SELECT uid, arg_max(n, last) AS streak FROM (SELECT uid, max(day) AS last, count(*) AS n FROM i GROUP BY uid, g) GROUP BY 1), x AS (SELECT *, r * 10 + (n - r) * 2 AS xp, floor(r::DOUBLE / n * 100 + 0.5) AS acc FROM u JOIN k USING (uid)), l AS (SELECT *, CASE WHEN xp >= 10000 THEN 6 WHEN xp >= 5000 THEN 5 WHEN xp >= 2500 THEN 4 WHEN xp >= 1200 THEN 3 WHEN xp >= 500 THEN 2 ELSE 1 END AS level FROM x) SELECT uid, xp, level, streak, n >= 10 AS first10, n >= 100 AS first100, n >= 500 AS first500, streak >= 7 AS streak7, streak >= 30 AS streak30, acc >= 70 AND n >= 20 AS acc70, acc >= 85 AND n >= 50 AS acc85, best >= 90 AS subject_pro, level >= 3 AS level3, level >= 5 AS level5, xp >= 5000 AS xp5000, subjects >= 5 AS all_subjects FROM l")
+def a33_all_badges(spark, sf):
+    return L.all_badges(attempts(spark, sf))
+
+
 @query("")
 def x41_sm2_schedule(spark, sf):
     return L.schedule(attempts(spark, sf).select("uid", F.col("topic").alias("question_id"), F.least(F.lit(5), F.floor(F.col("seconds") / 5)).cast("int").alias("quality"), "at"))
