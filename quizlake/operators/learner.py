@@ -48,14 +48,41 @@ def recent(attempts: DataFrame, n: int = 20) -> DataFrame:
     return attempts.withColumn("position", F.row_number().over(newest())).where(F.col("position") <= n)
 
 
+def or_general(key: str) -> Column:
+    """A null or empty subject or topic counts as General."""
+    x = F.col(key).cast("string")
+    return F.when(x.isNull() | (x == ""), F.lit("General")).otherwise(x)
+
+
+def _accuracies(rows: DataFrame, keys: list[str], least: int, *more: Column) -> DataFrame:
+    right = F.sum(F.coalesce(F.col("is_correct"), F.lit(False)).cast("int"))
+    return rows.groupBy("uid", *keys).agg(F.count("*").alias("total"), right.alias("correct"), *more).where(F.col("total") >= least).withColumn("accuracy", percent("correct", "total"))
+
+
 def weakness(attempts: DataFrame, key: str, least: int, last: int = 500, top: int | None = None) -> DataFrame:
     """Accuracy by key over each user's last attempts, weakest first; keys with fewer than `least` attempts are left out."""
-    out = recent(attempts, last).where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "").groupBy("uid", key).agg(F.count("*").alias("total"), rights().alias("correct")).where(F.col("total") >= least).withColumn("accuracy", percent("correct", "total"))
+    out = _accuracies(recent(attempts, last).withColumn(key, or_general(key)), [key], least)
     if top is None:
         return out
     return out.withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy("accuracy", F.desc("total"), key))).where(F.col("place") <= top)
 
 
+def topic_report(attempts: DataFrame, least: int = 2, last: int = 500, top: int = 10) -> DataFrame:
+    """The weakest (subject, topic) of each user with the newest attempt's subtopic; of equals the one attempted last goes first."""
+    rows = recent(attempts, last).withColumns({"subject": or_general("subject"), "topic": or_general("topic")})
+    newest_of = F.min(F.struct("position", F.coalesce("subtopic", F.lit("")).alias("subtopic"))).alias("_newest")
+    out = _accuracies(rows, ["subject", "topic"], least, newest_of).withColumn("subtopic", F.col("_newest.subtopic"))
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("accuracy", "_newest.position"))
+    return out.withColumn("place", place).where(F.col("place") <= top).drop("_newest")
+
+
+def pattern_report(attempts: DataFrame, questions: DataFrame, least: int = 2, last: int = 500) -> DataFrame:
+    """Accuracy by pattern; an attempt without a tag takes that of its question, questions (id, pattern_tag), and without either doesn't count."""
+    tags = questions.where("id IS NOT NULL").groupBy(F.col("id").alias("question_id")).agg(F.max("pattern_tag").alias("_tag"))
+    rows = recent(attempts, last).join(tags, "question_id", "left").withColumn("pattern_tag", F.coalesce(F.nullif("pattern_tag", F.lit("")), F.nullif("_tag", F.lit(""))))
+    return _accuracies(rows.where("pattern_tag IS NOT NULL"), ["pattern_tag"], least)
+
+
 def strongest_gap(attempts: DataFrame, benchmark: float = 75.0, least: int = 5) -> DataFrame:
     out = attempts.groupBy("uid", "subject").agg(F.count("*").alias("total"), rights().alias("correct")).where(F.col("total") >= least)
     out = out.withColumn("accuracy", percent("correct", "total")).withColumn("gap", F.bround(F.lit(benchmark) - F.col("accuracy"), 1))

@@ -77,6 +77,36 @@ def a19_weak_topics(spark, sf):
     return L.weakness(attempts(spark, sf), "topic", 2, top=10)
 
 
+def gappy(spark, sf):
+    """Attempts, some without subject, topic or pattern, on documents as questions."""
+    e, n = attempts(spark, sf), F.col("attempt_id")
+    return e.withColumns({
+        "subject": F.when(n % 7 != 6, F.col("subject")), "topic": F.when(n % 31 == 30, "").otherwise(F.col("topic")), "subtopic": F.when(n % 3 != 0, F.concat(F.lit("U"), n % 3)),
+        "question_id": n % 150, "pattern_tag": F.when(n % 3 == 0, F.concat(F.lit("P"), n % 5)).when(n % 3 == 1, ""),
+    })
+
+
+GAPPY = f"{ATT}, b AS (SELECT * REPLACE (CASE WHEN attempt_id % 7 = 6 THEN 'General' ELSE subject END AS subject, CASE WHEN attempt_id % 31 = 30 THEN 'General' ELSE topic END AS topic), CASE WHEN attempt_id % 3 = 0 THEN '' ELSE 'U' || (attempt_id % 3) END AS subtopic, attempt_id % 150 AS question_id, CASE WHEN attempt_id % 3 = 0 THEN 'P' || (attempt_id % 5) END AS tag, row_number() OVER (PARTITION BY uid ORDER BY at DESC, attempt_id DESC) AS p FROM a), r AS (SELECT * FROM b WHERE p <= 500)"
+RATE = f"count(*) AS total, {OK} AS correct, round_even(sum(is_correct::INT) * 100.0 / count(*), 1)::DOUBLE AS accuracy"
+
+
+@query(f"WITH {GAPPY} SELECT uid, subject, {RATE} FROM r GROUP BY 1, 2 HAVING count(*) >= 3")
+def a19_subject_report(spark, sf):
+    return L.weakness(gappy(spark, sf), "subject", 3)
+
+
+@query(f"WITH {GAPPY}, w AS (SELECT uid, subject, topic, arg_min(subtopic, p) AS subtopic, min(p) AS newest, {RATE} FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT * EXCLUDE (newest) FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY accuracy, newest) AS place FROM w) WHERE place <= 10")
+def a19_topic_report(spark, sf):
+    return L.topic_report(gappy(spark, sf))
+
+
+@query(f"WITH {GAPPY}, q AS (SELECT doc_id, 'P' || (doc_id % 6) AS t FROM documents WHERE doc_id % 4 <> 0), v AS (SELECT r.*, coalesce(tag, t) AS pattern_tag FROM r LEFT JOIN (SELECT DISTINCT * FROM q) q ON doc_id = question_id) SELECT uid, pattern_tag, {RATE} FROM v WHERE pattern_tag IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2")
+def a19_pattern_report(spark, sf):
+    n = F.col("doc_id")
+    questions = t(spark, sf, "documents").select(n.alias("id"), F.when(n % 4 != 0, F.concat(F.lit("P"), n % 6)).otherwise("").alias("pattern_tag"))
+    return L.pattern_report(gappy(spark, sf), questions)
+
+
 @query(f"WITH {ATT}, g AS (SELECT uid, subject, count(*) AS total, {OK} AS correct FROM a GROUP BY 1, 2 HAVING count(*) >= 5), h AS (SELECT *, round_even(correct * 100.0 / total, 1)::DOUBLE AS accuracy FROM g) SELECT *, round_even(75.0 - accuracy, 1)::DOUBLE AS gap, round_even(total * 100.0 / sum(total) OVER (PARTITION BY uid), 1)::DOUBLE AS share FROM h")
 def a20_strength_gap(spark, sf):
     return L.strongest_gap(attempts(spark, sf))

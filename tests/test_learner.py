@@ -24,3 +24,14 @@ def test_all_badges(spark):
     assert earned["few"] == {"all_subjects"}  # no subject has five
     assert earned["third"] == {"first10", "first100", "acc70", "acc85", "subject_pro", "level3"} and got["third"]["level"] == 3
     assert not earned["gap"] and got["gap"]["xp"] == 12 and got["gap"]["streak"] == 1
+
+
+def test_weakness(spark):
+    made = [(None, "T", "", "P", 1, True), ("", "T", "u", "", 1, False), ("S", "T", "v", None, 2, False), ("S", "T", None, None, 3, True), ("R", "T", None, None, None, True), (None, None, None, "P", 1, None)]
+    rows = [("u", *r, i, START + timedelta(seconds=i)) for i, r in enumerate(made)]
+    df = spark.createDataFrame(rows, "uid string, subject string, topic string, subtopic string, pattern_tag string, question_id long, is_correct boolean, attempt_id long, at timestamp")
+    found = lambda out, *c: {tuple(r[x] for x in c) for r in out.collect()}
+    assert found(L.weakness(df, "subject", 3), "subject", "total", "correct") == {("General", 3, 1)}
+    assert found(L.topic_report(df), "place", "subject", "topic", "subtopic", "total", "accuracy") == {(1, "S", "T", "", 2, 50.0), (2, "General", "T", "u", 2, 50.0)}
+    questions = spark.createDataFrame([(1, "Q"), (2, "P"), (3, "")], "id long, pattern_tag string")
+    assert found(L.pattern_report(df, questions), "pattern_tag", "total", "correct") == {("P", 3, 1)}
