@@ -1,12 +1,14 @@
 """License notices: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment judges them.
 
 Templates and texts are cut into words of ASCII letters, digits and bytes from 0x80 up, lower-cased.  The index holds
-every 3-gram that is the smallest of 3 consecutive ones, so 5 shared words cannot be missed; the 3-grams of templates
-with fewer words are looked up at every place of a text, so 3 shared words in a row cannot be missed there.  For each candidate the
+every 3-gram that is the smallest of 3 consecutive ones, so 5 shared words in a row cannot be missed.  All n-grams of short
+templates (at most SHORT words) are looked up at every place of a text, 3-grams or, of templates of five words, 2-grams: a
+notice with a coverage of MIN_COVERAGE and words changed or left out always shares one.  For each candidate the
 hits of one diagonal band are gathered and the stretch of the text around them is aligned with the template inside
 the band (longest common subsequence of words within BAND of the diagonal).  Coverage is the share of the template's
-words that are matched in order.  A finding needs a coverage of MIN_COVERAGE; a template's findings in one text don't
-overlap, and of templates that claim the same words the one with more matched words stays, then the first by name.
+words that are matched in order.  A finding takes its stretch of the text, and the hits outside of it are aligned again.
+A finding needs a coverage of MIN_COVERAGE; a template's findings in one text don't overlap, and of templates that claim
+the same words the one with more matched words stays, then the one with the higher coverage, then the first by name.
 The templates are a fixed, bounded set.  Null, empty and wordless texts have no findings.  Repeated rows are repeated.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .base import ALNUM, alnum_words, grams, hasher, prepare, winnow
 
-GRAM, KEEP, BAND, MIN_COVERAGE = 3, 3, 12, 0.8
+GRAM, KEEP, BAND, MIN_COVERAGE, SHORT = 3, 3, 12, 0.8, 12
 SCHEMA = "doc_id long, license string, template_words long, matched_words long, coverage double, start long, end long, n_spans long, spans string"
 
 #: Public licence notices.
@@ -79,15 +81,14 @@ def align(text: list, template: list, shift: int, band: int = BAND) -> list[tupl
 
 
 def index(templates: dict[str, str]) -> dict:
-    hashed, where, short, words = hasher(), [], [], {}
+    hashed, where, words = hasher(), {"winnowed": [], "pairs": [], "all": []}, {}
     for name, text in templates.items():
         words[name] = alnum_words(text.encode())
-        g = grams(hashed(words[name]), GRAM)
-        if len(words[name]) < GRAM + KEEP - 1:
-            short += [(g[q], name, q) for q in range(len(g))]
-        else:
-            where += [(g[q], name, int(q)) for q in winnow(g, KEEP)]
-    return {"words": words, "long": table(where), "short": table(short)}
+        n = len(words[name])
+        kind = "winnowed" if n > SHORT else "pairs" if n == 5 else "all"
+        g = grams(hashed(words[name]), 2 if kind == "pairs" else GRAM)
+        where[kind] += [(g[q], name, int(q)) for q in (winnow(g, KEEP) if kind == "winnowed" else range(len(g)))]
+    return {"words": words} | {kind: table(x) for kind, x in where.items()}
 
 
 def table(where: list[tuple]) -> tuple[np.ndarray, list[tuple[str, int]]]:
@@ -95,34 +96,45 @@ def table(where: list[tuple]) -> tuple[np.ndarray, list[tuple[str, int]]]:
     return np.array([x[0] for x in where], np.uint64), [(x[1], x[2]) for x in where]
 
 
-def hits(g: np.ndarray, places: np.ndarray, inverted: tuple) -> list[tuple[str, int]]:
-    """Template and diagonal of every 3-gram of the text at these places that the table holds."""
+def hits(g: np.ndarray, places: np.ndarray, inverted: tuple) -> list[tuple[str, int, int]]:
+    """Template, diagonal and place of every n-gram of the text at these places that the table holds."""
     keys, at = inverted
-    lo, hi = (np.searchsorted(keys, g[places], side) for side in ("left", "right"))
-    return [(at[j][0], int(places[i]) - at[j][1]) for i in np.flatnonzero(hi > lo) for j in range(lo[i], hi[i])]
+    lo = np.searchsorted(keys, g[places])
+    found = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == g[places]) if len(keys) else []
+    return [(at[j][0], int(places[i]) - at[j][1], int(places[i])) for i in found for j in range(lo[i], np.searchsorted(keys, g[places[i]], "right"))]
 
 
 def find(ix: dict, words: list[bytes], h: np.ndarray) -> list[tuple[str, list[tuple[int, int]]]]:
     """Findings in the words of one text: template and matched pairs, by first word."""
-    g = grams(h, GRAM)
-    diagonals: dict[str, set[int]] = defaultdict(set)
-    for name, shift in hits(g, winnow(g, KEEP), ix["long"]) + hits(g, np.arange(len(g)), ix["short"]):
-        diagonals[name].add(shift)
+    g, g2 = grams(h, GRAM), grams(h, 2)
+    diagonals: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for name, shift, p in hits(g, winnow(g, KEEP), ix["winnowed"]) + hits(g, np.arange(len(g)), ix["all"]) + hits(g2, np.arange(len(g2)), ix["pairs"]):
+        diagonals[name][shift].append(p)
     found = []
-    for name, shifts in diagonals.items():
-        template, ordered = ix["words"][name], sorted(shifts)
+    for name, places in diagonals.items():
+        template, free, ordered = ix["words"][name], None, sorted(places)
+        n = len(template)
         while ordered:
-            shift = ordered[0]
-            near = [s for s in ordered if s - shift <= BAND]
-            ordered = ordered[len(near) :]
-            pairs = align(words, template, near[len(near) // 2])
-            if pairs and len(pairs) >= MIN_COVERAGE * len(template):
-                found.append((name, pairs))
-    kept, taken = [], []
-    for name, pairs in sorted(found, key=lambda x: (-len(x[1]), x[0], x[1][0])):
+            near = ordered[: bisect.bisect_right(ordered, ordered[0] + BAND)]
+            shift = near[len(near) // 2]
+            text = words if free is None else free
+            around = set(text[max(0, shift - BAND) : max(0, shift + n + BAND)])
+            # no more words than are there at all can be matched
+            pairs = align(text, template, shift) if sum(w in around for w in template) >= MIN_COVERAGE * n else []
+            if not pairs or len(pairs) < MIN_COVERAGE * n:
+                ordered.remove(shift)
+                continue
+            found.append((name, pairs))
+            b, e = pairs[0][0], pairs[-1][0] + 1
+            free = list(words) if free is None else free
+            free[b:e] = [None] * (e - b)
+            i, j = bisect.bisect_left(ordered, b - n), bisect.bisect_right(ordered, e)
+            ordered[i:j] = [s for s in ordered[i:j] if not all(b <= p < e for p in places[s])]
+    kept, taken = [], bytearray(len(words))
+    for name, pairs in sorted(found, key=lambda x: (-len(x[1]), len(ix["words"][x[0]]), x[0], x[1][0])):
         b, e = pairs[0][0], pairs[-1][0] + 1
-        if not any(b < y and x < e for x, y in taken):
-            taken.append((b, e))
+        if not any(taken[b:e]):
+            taken[b:e] = b"\1" * (e - b)
             kept.append((name, pairs))
     return sorted(kept, key=lambda x: x[1][0])
 

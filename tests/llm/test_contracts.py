@@ -1,6 +1,7 @@
 """Each operator's query against a brute-force version, over the smallest tables with edge rows added."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -317,6 +318,31 @@ def test_licenses_rights_reserved(spark):
         assert got[i].license == "All-rights-reserved" and text[got[i].start : got[i].end] == "All rights reserved" and got[i].n_spans == 1
 
 
+def found_licenses(text):
+    words = licenses.alnum_words(text.encode())
+    return [(name, pairs[0][0], pairs[-1][0] + 1) for name, pairs in licenses.find(licenses.index(licenses.TEMPLATES), words, licenses.hasher()(words))]
+
+
+def test_licenses_repeated():
+    for name, text in licenses.TEMPLATES.items():
+        n = len(licenses.alnum_words(text.encode()))
+        for between in ("", " two words"):
+            step = n + len(between.split())
+            assert found_licenses(f"{text}. {between} " * 6) == [(name, i * step, i * step + n) for i in range(6)], name
+
+
+def test_licenses_changed_words():
+    for name, text in licenses.TEMPLATES.items():
+        words = [w.decode() for w in licenses.alnum_words(text.encode())]
+        if len(words) > licenses.SHORT:
+            continue
+        for places in itertools.combinations(range(len(words)), int(len(words) * (1 - licenses.MIN_COVERAGE) + 1e-9)):
+            for k in range(4):
+                changed = " ".join(f"other{k}" if i in places else w for i, w in enumerate(words))
+                got = found_licenses(" ".join(f"a{k}{i}" for i in range(20)) + f" {changed} " + " ".join(f"b{k}{i}" for i in range(20)))
+                assert len(got) == 1, (name, changed)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
