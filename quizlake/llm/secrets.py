@@ -2,7 +2,10 @@
 
 The base kinds are found by pattern.  The method adds spans of kind markov: runs of 20 or more of [A-Za-z0-9+/_=-] that
 hold a letter and a digit, touch no base span and whose mean log-likelihood ratio per character, between a first-order model
-of random strings and one of identifiers, is above THRESHOLD.  Both models are trained from labelled samples
+of random strings and one of identifiers, is above THRESHOLD.  Without a digit they need two changes from small letters to
+capitals and a ratio above LETTERS, since the model knows no words but those of identifiers.  Of a run that is no secret as
+a whole, parts of 20 or more between "/", "_", "=" and "-" are judged in the same way, so that a path before a secret
+doesn't hide it.  Both models are trained from labelled samples
 (value, random); default_samples() makes them by rule.  The alphabet bounds the model to 80 x 80 numbers; it is all that
 reaches the driver.
 
@@ -23,11 +26,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+PART = r"[A-Za-z0-9+]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: The codes of "+" to "z", which hold the alphabet of runs.
 LOW, SIDE = 43, 80
 SPAN = "array<struct<start:int,k:int,stop:int,value:string>>"
-THRESHOLD = 0.35
+THRESHOLD, LETTERS = 0.35, 1.0
 #: The words identifiers are made of.
 NAMES = "get set user name id list item count total index value key data file path read write load save open close init start stop run test check valid parse format string number date time page size max min sum mean config option default error warning message event handler request response client server session account address status code type model view controller service manager factory builder helper util query table column row field table record update delete insert select order price amount customer product image button label width height color style".split()
 
@@ -101,9 +105,15 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
     def secret(x: Column) -> Column:
         free = ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        return x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & free & (ratio(x["value"], model) > THRESHOLD)
+        digit, mixed = x["value"].rlike("[0-9]"), x["value"].rlike("[a-z][A-Z].*[a-z][A-Z]")
+        return x["value"].rlike("[A-Za-z]") & (digit | mixed) & free & (ratio(x["value"], model) > F.when(digit, THRESHOLD).otherwise(LETTERS))
 
-    return out.withColumn("_added", F.when(F.size("_runs") > 0, F.filter("_runs", secret)).otherwise(F.array().cast(SPAN))).drop("_runs")
+    def parts(x: Column) -> Column:
+        moved = lambda y: F.struct((x["start"] + y["start"]).alias("start"), y["k"].alias("k"), (x["start"] + y["stop"]).alias("stop"), y["value"].alias("value"))
+        return F.when(x["value"].rlike("[/_=-]"), F.filter(F.transform(located(x["value"], PART, 3), moved), secret)).otherwise(F.array().cast(SPAN))
+
+    added = F.flatten(F.transform("_runs", lambda x: F.when(secret(x), F.array(x)).otherwise(parts(x))))
+    return out.withColumn("_added", F.when(F.size("_runs") > 0, added).otherwise(F.array().cast(SPAN))).drop("_runs")
 
 
 def listed(spans: Column) -> Column:

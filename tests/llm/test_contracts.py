@@ -71,6 +71,16 @@ def test_secrets_markov_and_redaction(spark):
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["see [SECRET] here"] * 3 + [f"see {x} here" for x in plain]
 
 
+def test_secrets_without_digit_or_behind_a_path(spark):
+    lettered = ["kJqdPqxLxVkaZrTnYwEbMQzh", "QzHLmvXcRtYpKdWfBjGs"]
+    path = "/config/session/manager/account/handler/"
+    digits = ["kJ8dPq2LxV0aZr5TnY7w", "Qz81Lm0vXc7Rt5Yp2Kd9Wf4H"]
+    plain = ["Donaudampfschifffahrtsgesellschaft", "ARBEITSUNFAEHIGKEITSBESCHEINIGUNG", "AbstractSingletonProxyFactoryBean", path + "abstractSingletonProxyFactory"]
+    df = spark.createDataFrame([(i, f"see {x} here", 1) for i, x in enumerate(lettered + [path + x for x in digits + lettered] + plain)], "doc_id long, text string, n_chars long")
+    assert [r.n_markov for r in secrets.find(df).orderBy("doc_id").collect()] == [1] * 6 + [0] * 4
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["see [SECRET] here"] * 2 + [f"see {path}[SECRET] here"] * 4 + [f"see {x} here" for x in plain]
+
+
 def test_toxicity(spark, docs, rows):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity(docs, labels, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
