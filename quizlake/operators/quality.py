@@ -202,3 +202,19 @@ def hidden_by_flags(flags: DataFrame, at_least: int = HIDE_AT) -> DataFrame:
     """question_id, flags, hidden: one flag counts per user and question, and all flags without a user (R6, batch)."""
     users = F.count_distinct("user_id") + F.count(F.when(F.col("user_id").isNull(), 1))
     return flags.groupBy("question_id").agg(users.alias("flags")).withColumn("hidden", F.col("flags") >= at_least)
+
+
+def baseline(rows: DataFrame, explanations: DataFrame) -> DataFrame:
+    """Per (exam, year, shift) the eight counts, the sorted ids and the SHA-256 of these, one a line (A27).  The sorted list
+    is itself a result, so the ids of a group must be in one place."""
+    explained = explanations.select(strip(F.col("question_id").cast("string")).alias("_id")).where("_id <> ''").distinct().withColumn("_explained", F.lit(True))
+    active = F.coalesce(F.col("is_active"), F.lit(False))
+    shown = F.when(F.col("public_visibility").isNotNull(), F.col("public_visibility") == "visible").otherwise(active)
+    rows = rows.withColumns({"_id": strip(F.col("id").cast("string")), "_shown": shown}).join(explained, "_id", "left")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    shift = F.when(blank("shift_label"), "NO_SHIFT").otherwise(strip("shift_label"))
+    out = rows.groupBy(strip("exam_name").alias("exam_name"), F.coalesce("exam_year", F.lit(0)).alias("exam_year"), shift.alias("shift_label")).agg(
+        F.count("*").alias("question_count"), n(active).alias("active_count"), n(F.col("_shown")).alias("visible_count"), n(~F.col("_shown")).alias("hidden_count"), n(F.col("practice_ready")).alias("practice_ready_count"), n(F.col("needs_review")).alias("needs_review_count"),
+        n(F.col("structural_status") == "broken").alias("structural_broken_count"), n(F.col("_explained")).alias("explanation_count"), F.array_sort(F.collect_list(F.when(F.col("_id") != "", F.col("_id")))).alias("question_ids"),
+    )
+    return out.withColumn("question_id_hash", F.sha2(F.array_join("question_ids", "\n").cast("binary"), 256))

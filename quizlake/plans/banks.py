@@ -67,6 +67,13 @@ def c7_queue_class(spark, sf):
     return bank(spark, sf).select("id", Q.queue_class(Q.issue_codes()).alias("c")).select("id", "c.priority", "c.issue")
 
 
+@query(f"WITH {STATE}, b AS (SELECT id, exam_name, CASE WHEN id % 6 > 0 THEN (2015 + id % 4)::INT ELSE 0 END AS exam_year, CASE WHEN id % 5 IN (1, 2) THEN 'Shift ' || (id % 5) ELSE 'NO_SHIFT' END AS shift_label, is_active AS active, len(broken) = 0 AND NOT bad AND is_active AS visible, id % 4 = 1 AS practice, needs_review AS review, len(broken) > 0 AS broken, id IN (SELECT doc_id FROM labels) AS explained FROM s) SELECT exam_name, exam_year, shift_label, count(*) AS question_count, sum(active::INT)::BIGINT AS active_count, sum(visible::INT)::BIGINT AS visible_count, sum((NOT visible)::INT)::BIGINT AS hidden_count, sum(practice::INT)::BIGINT AS practice_ready_count, sum(review::INT)::BIGINT AS needs_review_count, sum(broken::INT)::BIGINT AS structural_broken_count, sum(explained::INT)::BIGINT AS explanation_count, string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR) AS question_ids, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS question_id_hash FROM b GROUP BY 1, 2, 3")
+def a27_baseline_audit(spark, sf):
+    n = F.col("id")
+    rows = Q.with_quality(bank(spark, sf)).withColumns({"exam_year": F.when(n % 6 > 0, (2015 + n % 4).cast("int")), "shift_label": F.when((n % 5).isin(1, 2), F.concat(F.lit("Shift "), n % 5)).when(n % 5 == 3, " "), "practice_ready": F.when(n % 4 < 3, n % 4 == 1)})
+    return Q.baseline(rows, t(spark, sf, "labels").select(F.col("doc_id").alias("question_id"))).withColumn("question_ids", F.array_join("question_ids", "\n"))
+
+
 _TEXT = "regexp_replace(question_text, '^\\s+|\\s+$', '', 'g')"
 
 

@@ -1,5 +1,7 @@
 """Row quality on hand-written rows."""
 
+import hashlib
+
 from quizlake.operators import quality as Q
 
 GOOD = dict(id="1", question_text="Which of these rivers is the longest?", option_a="Ganga", option_b="Yamuna", option_c="Krishna", option_d="Kaveri", question_number=4, exam_name="ABC Clerk", question_type=None, subject="Geography", topic="Rivers", subtopic="Length", correct_answer="a", answer_status=None, needs_review=False, has_image=False, image_url=None, explanation_status=None, is_active=True)
@@ -59,3 +61,10 @@ def test_cleaned(spark):
     rows = spark.createDataFrame([tuple((GOOD | NO_OPTIONS | dict(question_text=x)).values()) for x in texts], KINDS)
     assert [r.question_text for r in Q.cleaned(rows).collect()] == ["Which river is long?"]
     assert rows.select(Q.extraction_score()).collect()[1][0] < -1000
+
+
+def test_baseline(spark):
+    made = [(2, "E", 2020, " ", True, None, True, True, "broken"), (10, "E ", 2020, None, None, None, None, False, None), (1, "E", 2020, "NO_SHIFT", True, "hidden_admin", False, None, "valid"), (3, "E", None, "S1", False, "visible", True, False, "valid")]
+    rows = spark.createDataFrame(made, "id long, exam_name string, exam_year int, shift_label string, is_active boolean, public_visibility string, practice_ready boolean, needs_review boolean, structural_status string")
+    got = {(r.exam_name, r.exam_year, r.shift_label): tuple(r)[3:] for r in Q.baseline(rows, spark.createDataFrame([(2,), (2,), (3,), (77,)], "question_id long")).collect()}
+    assert got == {("E", 2020, "NO_SHIFT"): (3, 2, 1, 2, 1, 1, 1, 1, ["1", "10", "2"], hashlib.sha256(b"1\n10\n2").hexdigest()), ("E", 0, "S1"): (1, 0, 1, 0, 1, 0, 0, 1, ["3"], hashlib.sha256(b"3").hexdigest())}
