@@ -1,13 +1,22 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, maps homoglyphs to Latin letters, digits and signs used for letters to these letters, and drops
-zero-width characters.  The lexicon holds whole words and beginnings of words (of 4 to 6 letters); each weighs the
-log-odds of its document counts in toxic and clean training rows.  Phrases (a term with its neighbour) that occur
-mainly in clean rows are exceptions: hits inside them don't count.  A document's features are its weight per
-logarithm of length and whether anything was hit; a logistic curve fitted on the training rows makes them a score.
-
-Training uses at most MAX_ROWS labelled rows (those with the smallest hash of the id), a documented bound.
-Null and empty texts score like texts without hits.  Without labels the seed lexicon alone decides.
+zero-width characters.  The lexicon holds whole words and beginnings of longer words (4 to 8 letters).  A term enters if,
+within a language, it stands in more toxic training rows than chance explains: the Chernoff bound of its document counts
+must beat the number of terms tried, and its odds those of the language by 8.  Its weight is -ln of the upper bound of
+its rate in clean words, the highest of any language.  Phrases (a term with its neighbour) that occur mainly in clean
+rows are exceptions: hits inside them don't count.
+
+A text's evidence is the sum over hits of max(0, weight - ln(words)): how unlikely a clean text of that length is to hold
+them.  So one hit of a term that clean texts never have counts in long texts too, and one that prose makes by chance
+counts little there.  A logistic curve makes the evidence a score; its slope is never negative.  It is fitted on rows that
+did not choose the lexicon (two halves, each scored by the other's terms), with each toxic row also as if it had but the median of its hits,
+by counts of evidence in steps of STEP, which Spark sums.
+
+Training uses at most MAX_ROWS labelled rows (those with the smallest hash of the id), a documented bound; of texts that
+repeat such an id one is taken.  Terms and exceptions are bounded by these rows.
+Null and empty texts score like texts without hits.  Where too little is labelled for a curve (fewer than LEAST rows of a
+kind) it keeps FIXED, and the seed lexicon stands beside what was learnt.
 Labels that occur more than once for an id count as toxic if any of them is.
 """
 
@@ -22,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_crc, prepare
+from .base import Scratch, id_crc, prepare
 
-MAX_ROWS, MAX_TERMS, MIN_DOCS, PRECISION, THRESHOLD = 20_000, 4_000, 4, 0.75, 0.3
+MAX_ROWS, MIN_DOCS, ODDS, THRESHOLD = 20_000, 3, 8, 0.3
+#: Steps and end of the evidence's histogram; rows of a kind that a curve needs, and the curve without them.
+STEP, MOST, LEAST, FIXED = 0.25, 40.0, 10, (-4.0, 1.2)
+#: Clean words without any of the seeds that are taken as read.
+SEED_WORDS = 1_000_000
 #: Words that count even without labels.
 SEED = ["idiot", "moron", "scum", "stupid", "pathetic", "worthless", "disgusting", "loser"]
 #: What each letter may be disguised as.
@@ -34,7 +47,7 @@ LOOKALIKE = {
 }
 FOLD = {ord(c): letter for letter, others in LOOKALIKE.items() for c in others} | {ord(c): None for c in "​‌‍⁠﻿­"} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 WORD = re.compile(r"[^\W_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 #: Signs that stand for a letter only between letters.
@@ -47,10 +60,15 @@ def fold(text: str | None) -> str:
     return SIGN.sub(lambda m: SIGNS[m[0]], text) if any(c in text for c in SIGNS) else text
 
 
-def terms(text: str) -> set[str]:
-    """The words of a folded text, and with a star, their beginnings."""
-    words = set(WORD.findall(text))
-    return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) >= n}
+def terms(text: str) -> Counter:
+    """How often each word of a folded text occurs, and with a star, each beginning of longer words."""
+    words = Counter(WORD.findall(text))
+    for word, n in list(words.items()):
+        for k in PREFIXES:
+            if len(word) <= k:
+                break
+            words[f"{word[:k]}*"] += n
+    return words
 
 
 def automaton(lexicon: dict[str, float], exceptions: set[str]):
@@ -82,25 +100,36 @@ def hits(machine, text: str) -> list[tuple[int, int, float]]:
         whole = end == len(text) or not text[end].isalnum()
         if exception and whole:
             excused.append((begin, end))
-        weight = max(word if whole else 0.0, start_only)
+        weight = word if whole else start_only
         if weight > found.get(begin, (0, 0.0))[1]:
             found[begin] = (end, weight)
     return [(b, e, w) for b, (e, w) in sorted(found.items()) if not any(x <= b and e <= y for x, y in excused)]
 
 
-def features(machine, text: str) -> tuple[float, float, float]:
-    """Any hit at all; weight by the logarithm of the length; weight."""
+def evidence(machine, text: str) -> list[float]:
+    """What each hit in a folded text says beyond chance, given the text's length."""
     got = hits(machine, text)
-    total = sum(w for _, _, w in got)
-    return float(bool(got)), total / math.log2(8 + text.count(" ")), math.log1p(total)
+    length = math.log(1 + len(text.split())) if got else 0.0
+    return [max(0.0, w - length) for _, _, w in got]
 
 
 def _counts(rows):
     for batch in rows:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            (toxic if label else clean).update(terms(fold(text)))
-        yield pa.RecordBatch.from_pydict({"term": list(toxic) + [t for t in clean if t not in toxic], "t": list(toxic.values()) + [0] * sum(t not in toxic for t in clean), "c": [clean[t] for t in toxic] + [n for t, n in clean.items() if t not in toxic]})
+        found: dict[tuple, list[int]] = {}
+        for half, lang, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("half", "lang", "toxic", "text")), strict=True):
+            for term, n in terms(fold(text)).items():
+                own = found.setdefault((half, lang, term), [0, 0, 0])
+                own[0 if toxic else 1] += 1
+                own[2] += 0 if toxic else n
+        names, kinds = ("half", "lang", "term", "t", "c", "o"), [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        columns = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _sizes(rows):
+    for batch in rows:
+        out = [batch.column(c) for c in ("half", "lang", "toxic")]
+        yield pa.RecordBatch.from_arrays([*out, pa.array([len(WORD.findall(fold(t))) for t in batch.column("text").to_pylist()], pa.int64())], ["half", "lang", "toxic", "words"])
 
 
 def _phrases(lexicon):
@@ -122,63 +151,99 @@ def _phrases(lexicon):
     return run
 
 
-def _featured(lexicon, exceptions):
+def _evident(halves: list[dict[str, float]], exceptions: set[str]):
+    """bin, toxic, weight of the rows: each row by the lexicon that its half did not choose."""
+
     def run(rows):
-        machine = automaton(lexicon, exceptions)
+        machines = [automaton(x, exceptions) for x in halves]
         for batch in rows:
-            x = [features(machine, fold(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(3)] + [batch.column("toxic").cast(pa.int64())], ["a", "b", "c", "toxic"])
+            out = []
+            for half, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("half", "toxic", "text")), strict=True):
+                found = sorted(evidence(machines[half], fold(text)))
+                if toxic and found:
+                    out += [(sum(found), 1, 0.5), (found[len(found) // 2], 1, 0.5)]
+                else:
+                    out.append((sum(found), int(toxic), 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array([int(min(x, MOST) / STEP) for x, _, _ in out], pa.int64()), pa.array([y for _, y, _ in out], pa.int64()), pa.array([w for _, _, w in out], pa.float64())], ["bin", "toxic", "weight"])
 
     return run
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression with a small ridge, by Newton's method; intercept first."""
-    x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 4))
-    ridge, w = np.diag([1e-3, 0.05, 0.05, 0.05]), np.array([-3.0, 2.0, 1.0, 1.0])
-    if len(y) < 20 or y.min() == y.max():
-        return [float(v) for v in w]
-    w = np.zeros(4)
-    for _ in range(40):
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Intercept and slope of a logistic regression with a small ridge, by Newton's method."""
+    if min(weight[y == 1].sum(), weight[y == 0].sum()) < LEAST:
+        return list(FIXED)
+    x, w, ridge = np.column_stack([np.ones(len(x)), x]), np.array([-3.0, 0.5]), np.diag([1e-2, 1.0])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -3, 3)
-    return [float(v) for v in w]
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
+        w = w + np.clip(step, -1, 1)
+    return [float(w[0]), max(0.0, float(w[1]))]
+
+
+def _chosen(counted: DataFrame, sizes: DataFrame) -> dict[str, float]:
+    """Terms and weights from counts (lang, term, t, c, o) and the languages' sizes (lang, nt, nc, words)."""
+    rows = counted.where(F.col("t") >= MIN_DOCS).join(F.broadcast(sizes.where("nt > 0 AND nc > 0")), "lang")
+    tried = rows.groupBy("lang").agg(F.count("*").alias("tried"))
+    p, r = F.col("t") / (F.col("t") + F.col("c")), F.col("nt") / (F.col("nt") + F.col("nc"))
+    surprise = F.col("t") * F.log(p / r) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - p) / (1 - r))).otherwise(0.0)
+    clear = (surprise >= F.log("tried") + 3) & (F.col("t") * F.col("nc") >= ODDS * F.col("c") * F.col("nt")) & (p > r)
+    rate = (F.col("o") + 2 * F.sqrt("o") + 3) / F.col("words")
+    told = rows.join(F.broadcast(tried), "lang").where(clear).groupBy("term").agg(F.max(rate).alias("rate"), F.sum("t").alias("t"))
+    other = counted.join(F.broadcast(sizes.where("words > 0")), "lang").join(F.broadcast(told.select("term")), "term").groupBy("term").agg(F.max(F.col("o") / F.col("words")).alias("other"))
+    found = {r["term"]: (-math.log(max(r["rate"], r["other"])), r["t"]) for r in told.join(other, "term", "left").na.fill(0.0).collect()}
+    # a beginning goes where one longer term stands for nearly all of its rows, a longer term where a beginning says as much
+    longer: dict[str, int] = {}
+    for t, (_, n) in found.items():
+        for k in (k for k in PREFIXES if k < len(t.rstrip("*"))):
+            longer[f"{t[:k]}*"] = max(n, longer.get(f"{t[:k]}*", 0))
+    found = {t: w for t, (w, n) in found.items() if not (t.endswith("*") and longer.get(t, 0) >= 0.9 * n)}
+    return {t: w for t, w in sorted(found.items()) if not any(found.get(f"{t[:k]}*", -1e9) >= w - math.log(2) for k in PREFIXES if k < len(t.rstrip("*")))}
+
+
+def _seeds(counted: DataFrame, words: int) -> dict[str, float]:
+    own = {r["term"]: r["o"] for r in counted.where(F.col("term").isin(SEED)).groupBy("term").agg(F.sum("o").alias("o")).collect()}
+    return {t: -math.log((own.get(t, 0) + 2 * math.sqrt(own.get(t, 0)) + 3) / (words + SEED_WORDS)) for t in SEED}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     """Lexicon, exceptions and curve from labelled rows outside the held-out fold."""
     prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(id_crc("_id") % 4 != 2).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    rate = max(n_toxic, 1) / max(n_clean, 1)
-    odds = F.log((F.col("t") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(n_clean + 1.0))
-    counted = rows.mapInArrow(_counts, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    good = counted.where((F.col("t") >= MIN_DOCS) & (F.col("t") >= PRECISION * (F.col("t") + F.lit(min(1.0, rate)) * F.col("c")))).where(odds > math.log(8))
-    learnt = {r["term"]: float(r["w"]) for r in good.select("term", "t", odds.alias("w")).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()}
-    # what a shorter beginning says already is left out
-    short = {t: w for t, w in learnt.items() if not any(f"{t[:k]}*" in learnt for k in PREFIXES if k < len(t.rstrip("*")))}
-    lexicon = {w: math.log(30) for w in SEED} | short
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))
+    rows = scratch.table(rows.select((F.xxhash64("_id", F.lit(7)).bitwiseAND(1)).cast("int").alias("half"), "x.lang", "toxic", "x.text"), "rows")
+    sizes = rows.mapInArrow(_sizes, "half int, lang string, toxic int, words long").groupBy("half", "lang").agg(F.count_if(F.col("toxic") == 1).alias("nt"), F.count_if(F.col("toxic") == 0).alias("nc"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("words"))), F.lit(0)).alias("words"))
+    sizes = scratch.table(sizes, "sizes")
+    counted = scratch.table(rows.mapInArrow(_counts, "half int, lang string, term string, t long, c long, o long").groupBy("half", "lang", "term").agg(*(F.sum(c).alias(c) for c in "tco")), "counted")
+    sums = lambda df, key, names: df.groupBy(key).agg(*(F.sum(c).alias(c) for c in names))
+    words = sizes.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    seeds = _seeds(counted, words)
+    whole = sums(counted, ["lang", "term"], "tco"), sums(sizes, ["lang"], ("nt", "nc", "words"))
+    lexicon = seeds | _chosen(*whole)
+    # rows of half 0 are judged by what half 1 chose, and the other way round
+    halves = [seeds | _chosen(counted.where(F.col("half") == h), sizes.where(F.col("half") == h)) for h in (1, 0)]
     told = rows.mapInArrow(_phrases(lexicon), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    exceptions = {r["term"] for r in told.where((F.col("c") >= 3) & (F.col("c") >= 4 * F.col("t"))).orderBy(F.desc("c"), "term").limit(MAX_TERMS).collect()}
-    pdf = np.array([tuple(r) for r in rows.mapInArrow(_featured(lexicon, exceptions), "a double, b double, c double, toxic long").collect()], float).reshape(-1, 4)
-    return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve(pdf[:, :3], pdf[:, 3])}
+    exceptions = {r["term"] for r in told.where((F.col("c") >= 3) & (F.col("c") >= 4 * F.col("t"))).collect()}
+    bins = rows.mapInArrow(_evident(halves, exceptions), "bin long, toxic long, weight double").groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()
+    x = np.array([((r["bin"] + 0.5) * STEP if r["bin"] else 0.0, r["toxic"], r["weight"]) for r in bins], float).reshape(-1, 3)
+    scratch.drop("rows", "sizes", "counted")
+    return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve(x[:, 0], x[:, 1], x[:, 2])}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score, n_hits and the hit spans of the folded text, for each row of docs (doc_id, text)."""
+    """doc_id, score and n_hits for each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
 
     def run(batches):
         machine, w = automaton(model["lexicon"], model["exceptions"]), model["curve"]
         for batch in batches:
-            texts = [fold(t) for t in batch.column("text").to_pylist()]
-            x = np.array([features(machine, t) for t in texts]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(w[0] + x @ np.array(w[1:]), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([len(hits(machine, t)) if f else 0 for t, f in zip(texts, x[:, 0], strict=True)], pa.int64())], ["doc_id", "score", "n_hits"])
+            found = [evidence(machine, fold(t)) for t in batch.column("text").to_pylist()]
+            p = [1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * min(sum(x), MOST))))) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "score", "n_hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_hits long")
