@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _OWN: list[str] = []
+_SENT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset and everything runs in this process (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="quizlake-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -49,11 +53,14 @@ class Scratch:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Python workers find this package; Arrow batches stay small where texts are long."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Python workers get this package by Spark's file server; Arrow batches stay small where texts are long."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="quizlake-code-")
+        context.addPyFile(shutil.make_archive(os.path.join(folder, os.path.basename(package)), "zip", os.path.dirname(package), os.path.basename(package)))
+        atexit.register(shutil.rmtree, folder, True)
+        _SENT.add(context.applicationId)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
 
@@ -62,6 +69,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores in front as keep them apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

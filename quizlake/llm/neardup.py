@@ -6,30 +6,32 @@ coordinates collide, so they share one of each other's K - MATCH + 1 rarest post
 merged, and postings of a single node are skipped.  Matching pairs are confirmed on the full sets:
 100 * intersection >= 85 * union.
 
-No list of postings is expanded into all its pairs while its nodes are one component.  In each of ROUNDS rounds every list
-compares one node, at first its most central one, with those outside of the node's component; lists inside one component are skipped from then
-on.  What then still lies in different components is compared in full: pairs that share a shingle which at most RARE of these nodes have, by
-that shingle, and others by their postings if the shingles that more nodes have would suffice; so no link between components is lost that the signatures show.
-Before two sets are fetched, their counts over BUCKETS ranges of hashes bound the intersection from above: what cannot reach the
-similarity goes no further, and no link is lost.  A pair of similarity 0.85 has fewer than MATCH collisions with a probability of about 1e-4,
-one of 0.9 with 1e-6.
-
-Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if their
-texts are equal; kept is true for each of them, and distinct() leaves one.  A null doc_id sorts before all others.
+No list of postings is expanded into all its pairs.  In each of ROUNDS rounds every list compares one node, at first its
+most central one, with those outside of the node's component; lists inside one component are skipped from then on.  What
+then still lies in different components is joined by prefixes of the full sets in one order, rarest shingle first: sets
+that are similar enough share a shingle near the beginning of both, and what stands behind the first one they share bounds
+their intersection.  That bound is part of the join's condition, so a pair leaves the join only if its sets can be similar
+enough by size and position; it then needs MATCH collisions like any other.  Before two sets are fetched, their counts
+over BUCKETS ranges of hashes bound the intersection once more.  None of these bounds loses a link.  A pair of similarity
+0.85 has fewer than MATCH collisions with a probability of about 1e-4, one of 0.9 with 1e-6.
+
+Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if
+their sets are equal, and documents of their own if not; kept is true for each row whose doc_id is the least of its
+component, and distinct() leaves one row of each such document.  A null doc_id sorts before all others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import U64, Scratch, grams, hasher, mix, prepare, space_words
+from .base import U64, Scratch, fresh, grams, hasher, mix, prepare, space_words
 
-SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 6
+SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 4
 PREFIX = K - MATCH + 1
-BITS, RARE, BUCKETS = 1 << 26, 10, 256
+BITS, BUCKETS = 1 << 26, 256
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -158,14 +160,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             hubs = lists.groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             found = rows.join(hubs, (F.col("l.key") == F.col("_key")) & (F.col("l.label") != F.col("r.label")) & _able())
         else:
-            often, rare = _by_holders(scratch, lists, full)
-            rows = scratch.table(lists.drop("common").join(often, "node", "left").withColumn("common", F.coalesce("often", F.lit(0))).drop("often"), "bounded")
-            rare = rare.join(labels, "node")
-            apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
-            columns = [F.col("l.node").alias("node_l"), F.col("r.node").alias("node_r")]
-            by_key = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & _able()).select(*columns)
-            by_rare = rare.alias("l").join(rare.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & apart).select(*columns)
-            found = by_key.union(by_rare).select(F.struct(F.col("node_l").alias("node")).alias("l"), F.struct(F.col("node_r").alias("node")).alias("r"))
+            found = _by_position(scratch, lists, labels, full)
         found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = scratch.table(_matching(found.distinct(), small), "pairs")
         linked = scratch.table(confirmed(pairs, full), "linked")
@@ -184,6 +179,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 break
             if not turn:
                 lists = scratch.table(_held_in_common(lists, full), "bounded")
+    scratch.drop("lists", "bounded", "full", "pairs", "linked", "both", "labels", "held", "early")
     placed = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("component_id"))
     classes = placed.join(least, F.col("label") == F.col("_label")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("copies") > 1)).select(F.col("set_id").alias("_set"), "component_id", F.lit(True).alias("_in"))
@@ -237,13 +233,23 @@ def _held_in_common(lists: DataFrame, full: DataFrame) -> DataFrame:
     return lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(100 * F.col("common") >= PERCENT * F.col("n"))
 
 
-def _by_holders(scratch: Scratch, lists: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How many of a node's shingles more than RARE nodes have, and the shingles that 2 to RARE nodes have.  Two nodes
-    share one of the latter or have no more in common than the former."""
+def _by_position(scratch: Scratch, lists: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs l, r of nodes of the lists, in different components, that share a shingle so early in both sets, rarest first,
+    that they can be similar enough."""
     held = scratch.table(_held(lists, full), "held")
-    holders = held.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("holders")).where("holders > 1")
-    rows = scratch.table(held.join(holders, F.col("shingle") == F.col("_shingle")).select("node", "shingle", "holders"), "holders")
-    return rows.where(F.col("holders") > RARE).groupBy("node").agg(F.count("*").alias("often")), rows.where(F.col("holders") <= RARE).select("node", "shingle")
+    holders = held.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("holders"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "shingle"))
+    placed = held.join(holders, F.col("shingle") == F.col("_shingle")).withColumn("place", place).join(full.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node"))
+    # the first shingle in common stands at place n - 0.85 n + 1 at the latest
+    early = placed.where((F.col("holders") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n"))).select("node", "shingle", "place", "n").join(labels, "node")
+    rows = scratch.table(early, "early")
+    mixed = rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("_shingle")
+    rows = scratch.table(rows.join(mixed, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "early")
+    most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) + 1
+    able = (100 * most) >= (PERCENT * (F.col("l.n") + F.col("r.n") - most))
+    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
+    found = rows.alias("l").join(rows.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & apart & able)
+    return found.select(F.struct(F.col("l.node")).alias("l"), F.struct(F.col("r.node")).alias("r"))
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -266,8 +272,20 @@ def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def distinct(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group; the columns stay.  Of rows that repeat an id one stays."""
+    """docs with one document of each group; the columns stay.  Of rows that repeat an id, one of each set of shingles stays,
+    the one with the least hash of its text (texts without words count by that hash)."""
     found = near_duplicates(docs)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    return out if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    again = docs.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if again.isEmpty():
+        return out
+    mark, m, kind, first = fresh(docs, "_mark", "_m", "_set", "_first")
+    repeated = out.join(again, out["doc_id"].eqNullSafe(again["_again"]), "left_semi")
+    single = out.join(again, out["doc_id"].eqNullSafe(again["_again"]), "left_anti")
+    rows = Scratch(docs.sparkSession).table(repeated.withColumn(mark, F.xxhash64("text")), "repeated")
+    # these rows' sets are told once more, by the hash of the text
+    told = signatures(rows.select(F.col(mark).alias("doc_id"), "text").distinct())
+    told = told.select(F.col("doc_id").alias(m), F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("doc_id").cast("string").cast("binary")).alias(kind)).distinct()
+    rows = rows.join(told, F.col(mark) == F.col(m)).withColumn(first, F.row_number().over(Window.partitionBy("doc_id", kind).orderBy(mark)))
+    return single.unionByName(rows.where(F.col(first) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)))
