@@ -14,7 +14,8 @@ did not choose the lexicon (two halves, each scored by the other's terms), with
 by counts of evidence in steps of STEP, which Spark sums.
 
 Training uses at most MAX_ROWS labelled rows (those with the smallest hash of the id), a documented bound; of texts that
-repeat such an id one is taken.  Terms and exceptions are bounded by these rows.
+repeat such an id one is taken.  Copies say nothing new, but would make every word of a copied text look telling: of rows
+that share one of DRAWS MinHash values of their word 3-grams one stays.  Terms and exceptions are bounded by these rows.
 Null and empty texts score like texts without hits.  Where too little is labelled for a curve (fewer than LEAST rows of a
 kind) it keeps FIXED, and the seed lexicon stands beside what was learnt.
 Labels that occur more than once for an id count as toxic if any of them is.
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, id_crc, prepare
+from .base import U64, Scratch, grams, hasher, id_crc, prepare, space_words
 
 MAX_ROWS, MIN_DOCS, ODDS, THRESHOLD = 20_000, 3, 8, 0.3
 #: Steps and end of the evidence's histogram; rows of a kind that a curve needs, and the curve without them.
 STEP, MOST, LEAST, FIXED = 0.25, 40.0, 10, (-4.0, 1.2)
+DRAWS = 6
 #: Clean words without any of the seeds that are taken as read.
 SEED_WORDS = 1_000_000
 #: Words that count even without labels.
@@ -126,6 +128,28 @@ def _counts(rows):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _sketches(rows):
+    """_id and the DRAWS least hashes of the word 3-grams under as many orders."""
+    hashed, rng = hasher(), np.random.default_rng(20250711)
+    a, b = rng.integers(1, 2**63, DRAWS, np.uint64) | U64(1), rng.integers(0, 2**63, DRAWS, np.uint64)
+    for batch in rows:
+        out = []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            h = hashed(space_words(text))
+            g = grams(h, min(3, len(h))) if len(h) else np.zeros(1, U64)
+            out.append([int(x) for x in (((g[:, None] ^ (g[:, None] >> U64(31))) * a + b) >> U64(1)).min(axis=0)])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(DRAWS))], ["_id", *(f"m{i}" for i in range(DRAWS))])
+
+
+def _thinned(rows: DataFrame) -> DataFrame:
+    """rows without near copies of one another."""
+    kind, names = rows.schema["_id"].dataType.simpleString(), [f"m{i}" for i in range(DRAWS)]
+    left = rows.select("_id", "text").mapInArrow(_sketches, ", ".join([f"_id {kind}", *(f"{m} long" for m in names)]))
+    for m in names:
+        left = left.groupBy(m).agg(F.min(F.struct("_id", *(x for x in names if x != m))).alias("x")).select("x.*", m)
+    return rows.join(F.broadcast(left.select("_id")), "_id", "left_semi")
+
+
 def _sizes(rows):
     for batch in rows:
         out = [batch.column(c) for c in ("half", "lang", "toxic")]
@@ -215,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
     rows = rows.groupBy("_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))
-    rows = scratch.table(rows.select((F.xxhash64("_id", F.lit(7)).bitwiseAND(1)).cast("int").alias("half"), "x.lang", "toxic", "x.text"), "rows")
+    rows = _thinned(scratch.table(rows.select("_id", "toxic", "x.*"), "known"))
+    rows = scratch.table(rows.select((F.xxhash64("_id", F.lit(7)).bitwiseAND(1)).cast("int").alias("half"), "lang", "toxic", "text"), "rows")
     sizes = rows.mapInArrow(_sizes, "half int, lang string, toxic int, words long").groupBy("half", "lang").agg(F.count_if(F.col("toxic") == 1).alias("nt"), F.count_if(F.col("toxic") == 0).alias("nc"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("words"))), F.lit(0)).alias("words"))
     sizes = scratch.table(sizes, "sizes")
     counted = scratch.table(rows.mapInArrow(_counts, "half int, lang string, term string, t long, c long, o long").groupBy("half", "lang", "term").agg(*(F.sum(c).alias(c) for c in "tco")), "counted")
@@ -230,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     exceptions = {r["term"] for r in told.where((F.col("c") >= 3) & (F.col("c") >= 4 * F.col("t"))).collect()}
     bins = rows.mapInArrow(_evident(halves, exceptions), "bin long, toxic long, weight double").groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()
     x = np.array([((r["bin"] + 0.5) * STEP if r["bin"] else 0.0, r["toxic"], r["weight"]) for r in bins], float).reshape(-1, 3)
-    scratch.drop("rows", "sizes", "counted")
+    scratch.drop("known", "rows", "sizes", "counted")
     return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve(x[:, 0], x[:, 1], x[:, 2])}
 
 
