@@ -68,16 +68,20 @@ def filled(*options) -> Column:
     return sum(((~blank(o)).cast("int") for o in options), F.lit(0))
 
 
+#: Printable characters that are no white space: no control, format, private, surrogate, unassigned or separator characters.
+PRINTABLE = r"[^\p{C}\p{Z}]"
+
+
 def garbled(x) -> Column:
-    """More than 8 % of at least 8 characters lie in U+0080 to U+00FF."""
-    n = matched(x, r"[^\p{Cc}]")
-    return (F.length(strip(x)) >= 8) & (matched(x, r"[\u0080-ÿ]") > 0.08 * n)
+    """More than 8 % of at least 8 printable characters, blanks not counted, lie in U+0080 to U+00FF."""
+    n = matched(x, PRINTABLE)
+    return (n >= 8) & (matched(x, r"[\u0080-ÿ&&[^\p{C}\p{Z}]]") > 0.08 * n)
 
 
 def english(x) -> Column:
-    """More than 30 % of the characters are ASCII."""
-    n = F.length(F.coalesce(col(x), F.lit("")))
-    return F.when(n == 0, F.lit(False)).otherwise(matched(x, r"[\x00-\x7F]") > 0.3 * n)
+    """More than 30 % of the printable characters are ASCII and the text is not garbled."""
+    n = matched(x, PRINTABLE)
+    return (n > 0) & ~garbled(x) & (matched(x, r"[\x21-\x7E]") > 0.3 * n)
 
 
 def tokens(x, stop: tuple[str, ...] = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")) -> Column:
@@ -107,7 +111,9 @@ def commission(x, special: tuple[str, ...] = (), known: tuple[str, ...] = ()) ->
 
 
 def masked_name(uid) -> Column:
-    return F.concat(F.lit("Aspirant "), F.upper(F.substring(F.coalesce(col(uid), F.lit("")), 1, 4)))
+    """By the first four characters of the id; USER without one."""
+    known = F.when(F.coalesce(col(uid), F.lit("")) == "", F.lit("user")).otherwise(col(uid))
+    return F.concat(F.lit("Aspirant "), F.upper(F.substring(known, 1, 4)))
 
 
 def percent(x, y, digits: int = 1) -> Column:
@@ -142,21 +148,25 @@ def timestamp_or(x, as_of) -> Column:
 
 
 def duration_text(seconds) -> Column:
-    s = F.greatest(F.lit(0), col(seconds).cast("int"))
-    return F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))
+    """Minutes and seconds from a minute on, below it seconds alone; halves of a second count up, nothing is below 0."""
+    s = F.greatest(F.lit(0), F.floor(F.coalesce(col(seconds), F.lit(0)) + 0.5)).cast("long")
+    return F.when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def duration_seconds(x) -> Column:
-    part = lambda unit: F.coalesce(F.regexp_extract(F.coalesce(col(x), F.lit("")), rf"(\d+)\s*{unit}", 1).try_cast("int"), F.lit(0))
+    part = lambda unit: F.coalesce(F.regexp_extract(F.lower(F.coalesce(col(x), F.lit(""))), rf"(\d+){unit}", 1).try_cast("int"), F.lit(0))
     return part("m") * 60 + part("s")
 
 
 def effective_plan(plan, expires, as_of) -> Column:
-    return F.when(col(expires).isNull() | (col(expires) < F.lit(as_of).cast("timestamp")), F.lit("free")).otherwise(F.coalesce(col(plan), F.lit("free")))
+    """The plan in small letters until it expires; one without an expiry holds, none is free."""
+    name = F.lower(F.when(F.coalesce(col(plan), F.lit("")) == "", F.lit("free")).otherwise(col(plan)))
+    return F.when(col(expires) < F.lit(as_of).cast("timestamp"), F.lit("free")).otherwise(name)
 
 
 def content_hash(name, year, number, text, *options) -> Column:
-    """SHA-256 of exam, year and number, or without a number of exam, year, text and options."""
-    numbered = F.concat_ws("|", F.lower(collapse(name)), col(year).cast("string"), F.concat(F.lit("q"), col(number).cast("string")))
-    free = F.concat_ws("|", F.lower(collapse(name)), F.coalesce(col(year).cast("string"), F.lit("")), *(F.lower(collapse(c)) for c in (text, *options)))
+    """SHA-256 of exam, year and number, or without a number of exam, year, text and the options as they are."""
+    head = (F.lower(strip(name)), F.coalesce(col(year).cast("int").cast("string"), F.lit("")))
+    numbered = F.concat_ws("|", *head, F.concat(F.lit("q"), col(number).cast("string")))
+    free = F.concat_ws("|", *head, F.lower(strip(text)), *(F.coalesce(col(c), F.lit("")) for c in options))
     return F.sha2(F.when(col(number).isNotNull(), numbered).otherwise(free), 256)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, percent, strip, structural_threshold
 
 #: How finished a paper is.
-STATUS_RANK = {"published": 5, "partially_published": 4, "needs_reupload": 3, "processing": 2, "draft": 1}
+STATUS_RANK = {"publishable": 4, "publishable_with_hidden_rows": 3, "reupload_needed": 2, "draft": 1, "blocked": 0}
+PUBLIC_STATUS = ("publishable", "publishable_with_hidden_rows")
 
 
 def winners(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -69,10 +70,10 @@ def trailing_numbers(df: DataFrame, key: str, number: str, expected: int) -> Dat
 
 
 def numbering_reasons(df: DataFrame, key: str, number: str) -> DataFrame:
-    """Per exam, if at least max(5, 80 %) of its rows are numbered: what is wrong with the numbers."""
+    """Per exam, if at least max(5, 80 % cut to a whole number) of its rows are numbered: what is wrong with the numbers."""
     rows = df.groupBy(key).agg(F.count("*").alias("rows"), F.count(number).alias("numbered"), F.countDistinct(number).alias("distinct"), F.max(number).alias("top"))
-    judged = F.col("numbered") >= F.greatest(F.lit(5), F.ceil(F.col("rows") * 0.8))
-    reasons = F.array_sort(F.array_compact(F.array(F.when(F.col("numbered") < F.col("rows"), "unnumbered_rows"), F.when(F.col("distinct") < F.col("numbered"), "duplicate_numbers"), F.when(F.col("distinct") < F.col("top"), "missing_numbers"))))
+    judged = F.col("numbered") >= F.greatest(F.lit(5), F.floor(F.col("rows") * 0.8))
+    reasons = F.array_sort(F.array_compact(F.array(F.when(F.col("numbered") < F.col("rows"), "unnumbered-questions"), F.when(F.col("distinct") < F.col("numbered"), "duplicate-question-numbers"), F.when(F.col("distinct") < F.col("top"), "missing-question-numbers"))))
     return rows.select(key, "rows", "numbered", F.when(judged, F.array_join(reasons, ",")).otherwise("").alias("reasons"))
 
 
@@ -104,7 +105,11 @@ def propagate_images(df: DataFrame, key: str, number: str, image: str, reach: in
 
 
 def latest_paper(papers: DataFrame, keys: list[str]) -> DataFrame:
-    """The paper with most visible, then most questions, the best status, the last version, the last id."""
+    """Of public papers with questions that are not archived: the one with most visible, then most questions, the best status,
+    the last version, the last id."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    live = ~F.coalesce(F.col("lifecycle"), F.lit("")).isin("archived") & F.col("status").isin(*PUBLIC_STATUS) & (n("total") > 0) & ((n("visible") > 0) | (n("hidden") > 0))
+    papers = papers.where(live)
     rank = reduce(lambda out, x: F.when(F.col("status") == x[0], F.lit(x[1])).otherwise(out), STATUS_RANK.items(), F.lit(0))
     return winners(papers, keys, [F.desc("visible"), F.desc("total"), rank.desc(), F.desc("version"), F.desc("id")])
 
@@ -124,8 +129,8 @@ def publish_state(rows: DataFrame) -> DataFrame:
     """Per paper counts and status; rows (paper_id, visible, structural boolean)."""
     out = rows.groupBy("paper_id").agg(F.count("*").alias("total"), F.sum(F.col("visible").cast("int")).alias("shown"), F.sum((~F.col("visible")).cast("int")).alias("hidden"), F.sum(F.col("structural").cast("int")).alias("structural"))
     out = out.withColumn("threshold", structural_threshold("total"))
-    status = F.when(F.col("total") == 0, "empty").when(F.col("structural") >= F.col("threshold"), "needs_reupload").when(F.col("shown") == 0, "hidden").when(F.col("hidden") > 0, "partially_published").otherwise("published")
-    return out.withColumn("status", status)
+    status = F.when((F.col("total") == 0) | (F.col("shown") == 0), "blocked").when(F.col("structural") >= F.col("threshold"), "reupload_needed").when(F.col("structural") > 0, "publishable_with_hidden_rows").otherwise("publishable")
+    return out.withColumn("status", status).withColumn("lifecycle", F.when(F.col("total") > 0, "ingested").otherwise("processing"))
 
 
 def coverage(rows: DataFrame, key: list[str], present: Column) -> DataFrame:

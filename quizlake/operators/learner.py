@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import commission, level, percent
+from ..functions.text import blank, commission, level, percent, percent_half_up
 
 REWARD = {"right": 10, "wrong": 2}
 LATEST = (F.desc, "at", "attempt_id")
@@ -23,13 +23,25 @@ def rights() -> Column:
     return F.sum(F.col("is_correct").cast("int"))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with 1..n in a total order, without one task that holds all rows: rows are dealt by range, counted per range, and
+    numbered from the sum of the counts before."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
+    parts = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(counts), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_p", "_own", "_before")
+
+
 def leaderboard(attempts: DataFrame, since: Column | None = None) -> DataFrame:
-    """Score, accuracy, favourite exam (ties: the larger name) and rank 1..n per user."""
-    rows = attempts if since is None else attempts.where(F.col("at") >= since)
+    """Score, accuracy, favourite exam (ties: the larger name) and rank 1..n per user; blank users are left out, the rank goes
+    by the exact ratio."""
+    rows = (attempts if since is None else attempts.where(F.col("at") >= since)).where(~blank("uid"))
     by_exam = rows.groupBy("uid", "exam").agg(F.count("*").alias("n"), rights().alias("right"), F.max("at").alias("at"))
     users = by_exam.groupBy("uid").agg(F.sum("n").alias("attempted"), F.sum("right").alias("correct"), F.max(F.struct("n", "exam"))["exam"].alias("top_exam"), F.max("at").alias("latest"))
     users = users.withColumn("score", F.col("correct") * REWARD["right"] + (F.col("attempted") - F.col("correct")) * REWARD["wrong"]).withColumn("accuracy", percent("correct", "attempted", 0))
-    return users.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("accuracy"), F.desc("attempted"), F.desc("latest"), "uid")))
+    users = users.withColumn("_ratio", F.col("correct") / F.col("attempted"))
+    return ranked(users, [F.desc("score"), F.desc("_ratio"), F.desc("attempted"), F.desc("latest"), F.asc("uid")]).drop("_ratio")
 
 
 def with_commission(board: DataFrame, special=(), known=()) -> DataFrame:
@@ -83,9 +95,10 @@ def pattern_report(attempts: DataFrame, questions: DataFrame, least: int = 2, la
     return _accuracies(rows.where("pattern_tag IS NOT NULL"), ["pattern_tag"], least)
 
 
-def strongest_gap(attempts: DataFrame, benchmark: float = 75.0, least: int = 5) -> DataFrame:
+def strongest_gap(attempts: DataFrame, benchmark: int = 70, least: int = 5) -> DataFrame:
+    """Whole percent (half up) of subjects with enough attempts, and how far that is above the benchmark."""
     out = attempts.groupBy("uid", "subject").agg(F.count("*").alias("total"), rights().alias("correct")).where(F.col("total") >= least)
-    out = out.withColumn("accuracy", percent("correct", "total")).withColumn("gap", F.bround(F.lit(benchmark) - F.col("accuracy"), 1))
+    out = out.withColumn("accuracy", percent_half_up("correct", "total")).withColumn("gap", F.col("accuracy") - benchmark)
     return out.withColumn("share", percent("total", F.sum("total").over(Window.partitionBy("uid"))))
 
 
@@ -101,13 +114,18 @@ def streak(attempts: DataFrame, as_of) -> DataFrame:
 
 
 def pace(attempts: DataFrame, fast: int = 30, steady: int = 60) -> DataFrame:
-    kind = F.when(F.col("seconds") <= fast, "fast").when(F.col("seconds") <= steady, "steady").otherwise("slow")
-    return attempts.where("seconds > 0").groupBy("uid", kind.alias("pace")).agg(F.count("*").alias("n"), rights().alias("correct"))
+    """Attempts by pace; an attempt without a time took no time."""
+    seconds = F.coalesce("seconds", F.lit(0))
+    kind = F.when(seconds <= fast, "Fast").when(seconds <= steady, "Balanced").otherwise("Slow")
+    return attempts.groupBy("uid", kind.alias("pace")).agg(F.count("*").alias("n"), rights().alias("correct"))
 
 
 def review_times(attempts: DataFrame, last: int = 20) -> DataFrame:
+    """Counts, accuracy and times over the last attempts; only times above 0 count, 0 stands for none."""
     t = F.when(F.col("seconds") > 0, F.col("seconds"))
-    return recent(attempts, last).groupBy("uid").agg(F.avg(t).alias("mean_s"), F.min(t).alias("least_s"), F.max(t).alias("most_s"))
+    right = F.sum(F.coalesce(F.col("is_correct"), F.lit(False)).cast("int"))
+    out = recent(attempts, last).groupBy("uid").agg(F.count("*").alias("total"), right.alias("correct"), F.coalesce(F.floor(F.avg(t) + 0.5), F.lit(0)).alias("mean_s"), F.coalesce(F.min(t), F.lit(0)).alias("least_s"), F.coalesce(F.max(t), F.lit(0)).alias("most_s"))
+    return out.withColumn("wrong", F.col("total") - F.col("correct")).withColumn("accuracy", percent_half_up("correct", "total"))
 
 
 def mistakes(attempts: DataFrame, key: str, top: int = 5) -> DataFrame:
@@ -126,11 +144,6 @@ def last_seen(attempts: DataFrame, key: str) -> DataFrame:
     return attempts.withColumn("position", F.row_number().over(newest())).groupBy("uid", key).agg(F.min("position").alias("last_seen"))
 
 
-def badges(attempts: DataFrame, steps: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
-    out = attempts.groupBy("uid").agg(F.count("*").alias("attempted"), rights().alias("correct"))
-    return out.select("*", *((F.col("attempted") >= s).alias(f"attempted_{s}") for s in steps), ((F.col("attempted") >= 20) & (F.col("correct") * 100 >= 80 * F.col("attempted"))).alias("sharp"))
-
-
 def all_badges(attempts: DataFrame) -> DataFrame:
     """The twelve badges of a user; the streak is the run of days that ends on the last active one, and a null subject is one of its own."""
     rounded = F.floor(F.col("correct") / F.col("total") * 100 + 0.5)
@@ -157,16 +170,19 @@ def mock_result(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def sm2(state: Column, quality: Column) -> Column:
-    """One step of spaced repetition: state (interval_days, ease, repetitions) after a review of quality 0 to 5."""
-    ease = F.greatest(F.lit(1.3), F.round(state["ease"] + 0.1 - (5 - quality) * (0.08 + (5 - quality) * 0.02), 3))
+    """One step of spaced repetition: state (interval_days, ease, repetitions) after a review of quality 0 to 5.  A failed one
+    costs 0.2 of the ease; a passed one's interval grows by the new ease before it is rounded."""
+    miss = 5 - quality
+    grown = F.greatest(F.lit(1.3), state["ease"] + (0.1 - miss * (0.08 + miss * 0.02)))
     passed = quality >= 3
-    interval = F.when(~passed, 1).when(state["repetitions"] == 0, 1).when(state["repetitions"] == 1, 6).otherwise(F.bround(state["interval_days"] * state["ease"]).cast("int"))
+    ease = F.when(passed, F.bround(grown, 3)).otherwise(F.greatest(F.lit(1.3), state["ease"] - 0.2))
+    interval = F.when(~passed, 1).when(state["repetitions"] == 0, 1).when(state["repetitions"] == 1, 6).otherwise(F.bround(state["interval_days"] * grown).cast("int"))
     return F.struct(interval.cast("int").alias("interval_days"), ease.alias("ease"), F.when(passed, state["repetitions"] + 1).otherwise(0).cast("int").alias("repetitions"))
 
 
 def schedule(reviews: DataFrame) -> DataFrame:
     """Folds each card's reviews (uid, question_id, quality, at) in order; the due date follows the last one."""
-    start = F.struct(F.lit(0).alias("interval_days"), F.lit(2.5).cast("double").alias("ease"), F.lit(0).alias("repetitions"))
+    start = F.struct(F.lit(1).alias("interval_days"), F.lit(2.5).cast("double").alias("ease"), F.lit(0).alias("repetitions"))
     folded = reviews.groupBy("uid", "question_id").agg(F.array_sort(F.collect_list(F.struct("at", "quality"))).alias("r"))
     out = folded.withColumn("s", F.aggregate("r", start, lambda s, x: sm2(s, x["quality"])))
     return out.select("uid", "question_id", "s.*", F.date_add(F.to_date(F.element_at("r", -1)["at"]), F.col("s.interval_days")).alias("due_date"))

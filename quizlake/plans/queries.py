@@ -36,15 +36,15 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 ATT = "a AS (SELECT event_id AS attempt_id, user_id::VARCHAR AS uid, event_type AS exam, 'S' || (event_id % 7) AS subject, 'T' || (event_id % 31) AS topic, value >= 10 AS is_correct, value AS seconds, ts AS at FROM events)"
 OK = "sum(is_correct::INT)::BIGINT"
-BOARD = f"g AS (SELECT uid, exam, count(*) AS n, {OK} AS r, max(at) AS at FROM a GROUP BY 1, 2), u AS (SELECT uid, sum(n)::BIGINT AS attempted, sum(r)::BIGINT AS correct, arg_max(exam, (n, exam)) AS top_exam, max(at) AS latest FROM g GROUP BY 1), s AS (SELECT *, correct * 10 + (attempted - correct) * 2 AS score, round_even(correct * 100.0 / attempted, 0)::DOUBLE AS accuracy FROM u)"
+BOARD = f"g AS (SELECT uid, exam, count(*) AS n, {OK} AS r, max(at) AS at FROM a GROUP BY 1, 2), u AS (SELECT uid, sum(n)::BIGINT AS attempted, sum(r)::BIGINT AS correct, arg_max(exam, (n, exam)) AS top_exam, max(at) AS latest FROM g GROUP BY 1), s AS (SELECT *, correct * 10 + (attempted - correct) * 2 AS score, round_even(correct * 100.0 / attempted, 0)::DOUBLE AS accuracy FROM u WHERE trim(uid) <> '')"
 
 
-@query(f"WITH {ATT}, {BOARD} SELECT *, row_number() OVER (ORDER BY score DESC, accuracy DESC, attempted DESC, latest DESC, uid) AS rank FROM s")
+@query(f"WITH {ATT}, {BOARD} SELECT *, row_number() OVER (ORDER BY score DESC, correct::DOUBLE / attempted DESC, attempted DESC, latest DESC, uid) AS rank FROM s")
 def a16_w2_leaderboard(spark, sf):
     return L.leaderboard(attempts(spark, sf))
 
 
-@query(f"WITH a0 AS (SELECT * FROM events WHERE ts >= date_trunc('week', TIMESTAMP '{AS_OF}')), {ATT.replace('FROM events', 'FROM a0')}, {BOARD} SELECT uid, score, row_number() OVER (ORDER BY score DESC, accuracy DESC, attempted DESC, latest DESC, uid) AS rank FROM s")
+@query(f"WITH a0 AS (SELECT * FROM events WHERE ts >= date_trunc('week', TIMESTAMP '{AS_OF}')), {ATT.replace('FROM events', 'FROM a0')}, {BOARD} SELECT uid, score, row_number() OVER (ORDER BY score DESC, correct::DOUBLE / attempted DESC, attempted DESC, latest DESC, uid) AS rank FROM s")
 def x43_weekly_leaderboard(spark, sf):
     return L.leaderboard(attempts(spark, sf), X.window_start("weekly", AS_OF)).select("uid", "score", "rank")
 
@@ -107,17 +107,17 @@ def a19_pattern_report(spark, sf):
     return L.pattern_report(gappy(spark, sf), questions)
 
 
-@query(f"WITH {ATT}, g AS (SELECT uid, subject, count(*) AS total, {OK} AS correct FROM a GROUP BY 1, 2 HAVING count(*) >= 5), h AS (SELECT *, round_even(correct * 100.0 / total, 1)::DOUBLE AS accuracy FROM g) SELECT *, round_even(75.0 - accuracy, 1)::DOUBLE AS gap, round_even(total * 100.0 / sum(total) OVER (PARTITION BY uid), 1)::DOUBLE AS share FROM h")
+@query(f"WITH {ATT}, g AS (SELECT uid, subject, count(*) AS total, {OK} AS correct FROM a GROUP BY 1, 2 HAVING count(*) >= 5), h AS (SELECT *, floor(correct * 100.0 / total + 0.5)::BIGINT AS accuracy FROM g) SELECT *, accuracy - 70 AS gap, round_even(total * 100.0 / sum(total) OVER (PARTITION BY uid), 1)::DOUBLE AS share FROM h")
 def a20_strength_gap(spark, sf):
     return L.strongest_gap(attempts(spark, sf))
 
 
-@query(f"WITH {ATT} SELECT uid, CASE WHEN seconds <= 30 THEN 'fast' WHEN seconds <= 60 THEN 'steady' ELSE 'slow' END AS pace, count(*) AS n, {OK} AS correct FROM a WHERE seconds > 0 GROUP BY 1, 2")
+@query(f"WITH {ATT} SELECT uid, CASE WHEN seconds <= 30 THEN 'Fast' WHEN seconds <= 60 THEN 'Balanced' ELSE 'Slow' END AS pace, count(*) AS n, {OK} AS correct FROM a GROUP BY 1, 2")
 def a21_pace(spark, sf):
     return L.pace(attempts(spark, sf))
 
 
-@query(f"WITH {ATT}, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY at DESC, attempt_id DESC) AS p FROM a) SELECT uid, avg(seconds) FILTER (seconds > 0) AS mean_s, min(seconds) FILTER (seconds > 0) AS least_s, max(seconds) FILTER (seconds > 0) AS most_s FROM r WHERE p <= 20 GROUP BY 1")
+@query(f"WITH {ATT}, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY at DESC, attempt_id DESC) AS p FROM a) SELECT uid, count(*) AS total, {OK} AS correct, count(*) - {OK} AS wrong, floor({OK} * 100.0 / count(*) + 0.5)::BIGINT AS accuracy, coalesce(floor(avg(seconds) FILTER (seconds > 0) + 0.5), 0)::BIGINT AS mean_s, coalesce(min(seconds) FILTER (seconds > 0), 0) AS least_s, coalesce(max(seconds) FILTER (seconds > 0), 0) AS most_s FROM r WHERE p <= 20 GROUP BY 1")
 def a22_review_times(spark, sf):
     return L.review_times(attempts(spark, sf))
 
@@ -147,21 +147,36 @@ def w16_last_seen(spark, sf):
     return L.last_seen(attempts(spark, sf), "topic")
 
 
-@query(f"WITH {ATT} SELECT uid, count(*) AS attempted, {OK} AS correct, count(*) >= 1 AS attempted_1, count(*) >= 10 AS attempted_10, count(*) >= 50 AS attempted_50, count(*) >= 100 AS attempted_100, count(*) >= 20 AND {OK} * 100 >= 80 * count(*) AS sharp FROM a GROUP BY 1")
-def a33_badges(spark, sf):
-    return L.badges(attempts(spark, sf))
-
-
 @query(f"WITH {ATT}, s AS (SELECT uid, subject, count(*) AS n, {OK} AS r FROM a GROUP BY 1, 2), u AS (SELECT uid, sum(n)::BIGINT AS n, sum(r)::BIGINT AS r, count(*) AS subjects, coalesce(max(floor(r::DOUBLE / n * 100 + 0.5)) FILTER (n >= 5), 0) AS best FROM s GROUP BY 1), d AS (SELECT DISTINCT uid, at::DATE AS day FROM a), i AS (SELECT uid, day, day - (row_number() OVER (PARTITION BY uid ORDER BY day))::INT AS g FROM d), k AS (SELECT uid, arg_max(n, last) AS streak FROM (SELECT uid, max(day) AS last, count(*) AS n FROM i GROUP BY uid, g) GROUP BY 1), x AS (SELECT *, r * 10 + (n - r) * 2 AS xp, floor(r::DOUBLE / n * 100 + 0.5) AS acc FROM u JOIN k USING (uid)), l AS (SELECT *, CASE WHEN xp >= 10000 THEN 6 WHEN xp >= 5000 THEN 5 WHEN xp >= 2500 THEN 4 WHEN xp >= 1200 THEN 3 WHEN xp >= 500 THEN 2 ELSE 1 END AS level FROM x) SELECT uid, xp, level, streak, n >= 10 AS first10, n >= 100 AS first100, n >= 500 AS first500, streak >= 7 AS streak7, streak >= 30 AS streak30, acc >= 70 AND n >= 20 AS acc70, acc >= 85 AND n >= 50 AS acc85, best >= 90 AS subject_pro, level >= 3 AS level3, level >= 5 AS level5, xp >= 5000 AS xp5000, subjects >= 5 AS all_subjects FROM l")
 def a33_all_badges(spark, sf):
     return L.all_badges(attempts(spark, sf))
 
 
-@query("")
+SM2 = """list_reduce(list_prepend({'i': 1, 'e': 2.5::DOUBLE, 'r': 0, 'q': 0}, list_transform(qs, lambda q: {'i': 0, 'e': 0.0::DOUBLE, 'r': 0, 'q': q})), lambda s, x: CASE WHEN x.q < 3
+THEN {'i': 1, 'e': greatest(1.3, s.e - 0.2), 'r': 0, 'q': 0}
+ELSE {'i': CASE s.r WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE round_even(s.i * greatest(1.3, s.e + (0.1 - (5 - x.q) * (0.08 + (5 - x.q) * 0.02))), 0)::INT END, 'e': round_even(greatest(1.3, s.e + (0.1 - (5 - x.q) * (0.08 + (5 - x.q) * 0.02))), 3)::DOUBLE, 'r': s.r + 1, 'q': 0} END)"""
+
+
+@query(f"WITH {ATT}, c AS (SELECT uid, topic AS question_id, list(least(5, floor(seconds / 5))::INT ORDER BY at, attempt_id) AS qs, max(at) AS last FROM a GROUP BY 1, 2), f AS (SELECT *, {SM2} AS s FROM c) SELECT uid, question_id, s.i AS interval_days, s.e AS ease, s.r AS repetitions, (last::DATE + s.i)::DATE AS due_date FROM f")
 def x41_sm2_schedule(spark, sf):
     return L.schedule(attempts(spark, sf).select("uid", F.col("topic").alias("question_id"), F.least(F.lit(5), F.floor(F.col("seconds") / 5)).cast("int").alias("quality"), "at"))
 
 
+@query(f"WITH {ATT}, x AS (SELECT attempt_id, CASE WHEN attempt_id % 5 > 0 THEN uid ELSE '' END AS u, (attempt_id * 7) % 12000 AS xp, CASE WHEN attempt_id % 3 > 0 THEN 'Pro' END AS plan, CASE WHEN attempt_id % 4 > 0 THEN at END AS expires, seconds * 7 AS s FROM a) SELECT attempt_id, 'Aspirant ' || upper(left(CASE WHEN u = '' THEN 'user' ELSE u END, 4)) AS name, CASE WHEN xp >= 10000 THEN 6 WHEN xp >= 5000 THEN 5 WHEN xp >= 2500 THEN 4 WHEN xp >= 1200 THEN 3 WHEN xp >= 500 THEN 2 ELSE 1 END AS level, CASE WHEN expires < TIMESTAMP '2024-01-15' OR plan IS NULL THEN 'free' ELSE 'pro' END AS plan, CASE WHEN floor(s + 0.5) >= 60 THEN (floor(s + 0.5)::BIGINT // 60) || 'm ' || (floor(s + 0.5)::BIGINT % 60) || 's' ELSE floor(s + 0.5)::BIGINT || 's' END AS took, floor(s + 0.5)::INT AS took_s FROM x")
+def x20_x42_x45_x47_learner_texts(spark, sf):
+    n, a = F.col("attempt_id"), attempts(spark, sf)
+    a = a.select("attempt_id", F.when(n % 5 > 0, F.col("uid")).otherwise("").alias("u"), ((n * 7) % 12000).alias("xp"), F.when(n % 3 > 0, "Pro").alias("plan"), F.when(n % 4 > 0, F.col("at")).alias("expires"), (F.col("seconds") * 7).alias("s"))
+    took = X.duration_text("s")
+    return a.select("attempt_id", X.masked_name("u").alias("name"), X.level("xp").alias("level"), X.effective_plan("plan", "expires", "2024-01-15").alias("plan"), took.alias("took"), X.duration_seconds(took).alias("took_s"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 3 > 0 THEN lower(source) || '|' || (2010 + doc_id % 9) || '|q' || (doc_id % 90) ELSE lower(source) || '|' || (2010 + doc_id % 9) || '|' || regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') || '|' || lang || '|A  B||' END) AS hash FROM documents WHERE lang = 'en'")
+def d10_content_hash(spark, sf):
+    n, d = F.col("doc_id"), t(spark, sf, "documents").where("lang = 'en'")
+    d = d.select("doc_id", "text", F.col("lang").alias("a"), F.lit("A  B").alias("b"), F.lit("").alias("c"), F.lit(None).cast("string").alias("d"), F.concat(F.lit(" "), "source").alias("exam"), (n % 9 + 2010).alias("year"), F.when(n % 3 > 0, n % 90).alias("number"))
+    return d.select("doc_id", X.content_hash("exam", "year", "number", "text", "a", "b", "c", "d").alias("hash"))
+
+
 @query("SELECT l_orderkey, unnest(range(1, max(l_linenumber)::BIGINT + 1))::INT AS l_linenumber FROM lineitem GROUP BY 1 EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem")
 def w13_missing_numbers(spark, sf):
     return I.missing_numbers(t(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
@@ -177,7 +192,7 @@ def w12_duplicate_numbers(spark, sf):
     return I.duplicates(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("WITH g AS (SELECT l_orderkey, count(*) AS rows, count(l_linenumber) AS numbered, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS top FROM lineitem GROUP BY 1) SELECT l_orderkey, rows, numbered, CASE WHEN numbered >= greatest(5, ceil(rows * 0.8)) THEN concat_ws(',', CASE WHEN d < numbered THEN 'duplicate_numbers' END, CASE WHEN d < top THEN 'missing_numbers' END, CASE WHEN numbered < rows THEN 'unnumbered_rows' END) ELSE '' END AS reasons FROM g")
+@query("WITH g AS (SELECT l_orderkey, count(*) AS rows, count(l_linenumber) AS numbered, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS top FROM lineitem GROUP BY 1) SELECT l_orderkey, rows, numbered, CASE WHEN numbered >= greatest(5, floor(rows * 0.8)) THEN concat_ws(',', CASE WHEN d < numbered THEN 'duplicate-question-numbers' END, CASE WHEN d < top THEN 'missing-question-numbers' END, CASE WHEN numbered < rows THEN 'unnumbered-questions' END) ELSE '' END AS reasons FROM g")
 def c6_numbering_reasons(spark, sf):
     return I.numbering_reasons(t(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
 
@@ -187,16 +202,16 @@ def d8_best_by_number(spark, sf):
     return I.winners(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-PAPERS = "p AS (SELECT o_orderkey AS id, o_custkey AS exam, year(o_orderdate) AS year, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'partially_published' ELSE 'draft' END AS status, floor(o_totalprice)::BIGINT AS visible, floor(o_totalprice / 2)::BIGINT AS total, (o_orderkey % 5)::INT AS version FROM orders)"
+PAPERS = "p AS (SELECT o_orderkey AS id, o_custkey AS exam, year(o_orderdate) AS year, CASE o_orderstatus WHEN 'F' THEN 'publishable' WHEN 'O' THEN 'publishable_with_hidden_rows' ELSE 'draft' END AS status, CASE o_orderkey % 11 WHEN 0 THEN 'archived' WHEN 1 THEN 'replaced' END AS lifecycle, (o_orderkey % 40)::BIGINT AS visible, (o_orderkey % 3)::BIGINT AS hidden, (o_orderkey % 50)::BIGINT AS total, (o_orderkey % 5)::INT AS version FROM orders)"
 
 
 def papers(spark, sf):
     o = t(spark, sf, "orders")
-    status = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "partially_published").otherwise("draft")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("exam"), F.year("o_orderdate").alias("year"), status.alias("status"), F.floor("o_totalprice").alias("visible"), F.floor(F.col("o_totalprice") / 2).alias("total"), (F.col("o_orderkey") % 5).cast("int").alias("version"))
+    status, k = F.when(F.col("o_orderstatus") == "F", "publishable").when(F.col("o_orderstatus") == "O", "publishable_with_hidden_rows").otherwise("draft"), F.col("o_orderkey")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("exam"), F.year("o_orderdate").alias("year"), status.alias("status"), F.when(k % 11 == 0, "archived").when(k % 11 == 1, "replaced").alias("lifecycle"), (k % 40).alias("visible"), (k % 3).alias("hidden"), (k % 50).alias("total"), (k % 5).cast("int").alias("version"))
 
 
-@query(f"WITH {PAPERS} SELECT exam, year, arg_max(id, (visible, total, CASE status WHEN 'published' THEN 5 WHEN 'partially_published' THEN 4 WHEN 'draft' THEN 1 ELSE 0 END, version, id)) AS id FROM p GROUP BY 1, 2")
+@query(f"WITH {PAPERS} SELECT exam, year, arg_max(id, (visible, total, CASE status WHEN 'publishable' THEN 4 ELSE 3 END, version, id)) AS id FROM p WHERE lifecycle IS DISTINCT FROM 'archived' AND status <> 'draft' AND total > 0 AND (visible > 0 OR hidden > 0) GROUP BY 1, 2")
 def w7_latest_paper(spark, sf):
     return I.latest_paper(papers(spark, sf), ["exam", "year"]).select("exam", "year", "id")
 
@@ -217,7 +232,7 @@ def j12_d16_repointed(spark, sf):
     return I.repoint(children, papers(spark, sf), ["exam", "year"], [F.desc("total"), F.desc("id")]).select("child", "number", "paper_id")
 
 
-@query("WITH g AS (SELECT l_orderkey AS paper_id, count(*) AS total, sum((l_linestatus = 'O')::INT)::BIGINT AS shown, sum((l_linestatus <> 'O')::INT)::BIGINT AS hidden, sum((l_returnflag = 'R')::INT)::BIGINT AS structural FROM lineitem GROUP BY 1), h AS (SELECT *, greatest(3, ceil(total * 0.05))::BIGINT AS threshold FROM g) SELECT *, CASE WHEN total = 0 THEN 'empty' WHEN structural >= threshold THEN 'needs_reupload' WHEN shown = 0 THEN 'hidden' WHEN hidden > 0 THEN 'partially_published' ELSE 'published' END AS status FROM h")
+@query("WITH g AS (SELECT l_orderkey AS paper_id, count(*) AS total, sum((l_linestatus = 'O')::INT)::BIGINT AS shown, sum((l_linestatus <> 'O')::INT)::BIGINT AS hidden, sum((l_returnflag = 'R')::INT)::BIGINT AS structural FROM lineitem GROUP BY 1), h AS (SELECT *, greatest(3, ceil(total * 0.05))::BIGINT AS threshold FROM g) SELECT *, CASE WHEN total = 0 OR shown = 0 THEN 'blocked' WHEN structural >= threshold THEN 'reupload_needed' WHEN structural > 0 THEN 'publishable_with_hidden_rows' ELSE 'publishable' END AS status, CASE WHEN total > 0 THEN 'ingested' ELSE 'processing' END AS lifecycle FROM h")
 def a13_publish_state(spark, sf):
     return I.publish_state(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_linestatus") == "O").alias("visible"), (F.col("l_returnflag") == "R").alias("structural")))
 
@@ -318,7 +333,7 @@ def x48_hashes(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", "text", "source"), 256).alias("hash"), F.md5(F.col("text").cast("binary")).alias("cache_key"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^\x{80}-\x{FF}]', '', 'g')) > 0.08 * length(regexp_replace(text, '\p{Cc}', '', 'g')) AND length(trim(text)) >= 8 AS garbled, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) > 0.3 * length(text) AS english FROM documents")
+@query(r"WITH n AS (SELECT doc_id, length(regexp_replace(text, '[\p{C}\p{Z}]', '', 'g')) AS n, length(regexp_replace(text, '[^\x{80}-\x{FF}]|[\p{C}\p{Z}]', '', 'g')) AS e, length(regexp_replace(text, '[^\x21-\x7E]', '', 'g')) AS a FROM documents) SELECT doc_id, n >= 8 AND e > 0.08 * n AS garbled, n > 0 AND a > 0.3 * n AND NOT (n >= 8 AND e > 0.08 * n) AS english FROM n")
 def x10_x11_garbled_english(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.garbled("text").alias("garbled"), X.english("text").alias("english"))
 
