@@ -41,7 +41,7 @@ def basename(x) -> Column:
     return F.substring_index(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"\\", "/"), "/", -1)
 
 
-def or_generic(x, fallback: str = "General", generic: tuple[str, ...] = ("", "general", "misc", "none", "null", "other", "unknown")) -> Column:
+def or_generic(x, fallback: str = "General", generic: tuple[str, ...] = ("", "general", "unclassified", "miscellaneous", "basics", "mixed")) -> Column:
     return F.when(F.lower(strip(x)).isin(*generic), F.lit(fallback)).otherwise(strip(x))
 
 

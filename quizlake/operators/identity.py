@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, percent, strip, structural_threshold
+from ..functions.text import blank, collapse, percent, strip, structural_threshold
 
 #: How finished a paper is.
 STATUS_RANK = {"publishable": 4, "publishable_with_hidden_rows": 3, "reupload_needed": 2, "draft": 1, "blocked": 0}
@@ -19,18 +19,20 @@ def winners(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def identity(df: DataFrame, scoped: bool = True, by_id: tuple[str, ...] = ()) -> Column:
-    """A tagged key: scope and number, or exam, year and number, or hash, or id, or the whole row."""
+def identity(df: DataFrame, scoped: bool = True, by_id: tuple[tuple[str, int], ...] = ()) -> Column:
+    """A tagged key.  Scoped: paper, shift, exam, year and number, or paper, shift and id.  Else, or where these are missing:
+    the id for exams and years in by_id, the id of rows with a paper or shift, exam, year and number, hash, id, the whole row.
+    Only numbers above 0 count."""
     t = lambda c: strip(F.col(c).cast("string"))
     key = lambda kind, *p: F.struct(F.lit(kind).alias("kind"), F.concat_ws("\x1f", *p).alias("key"))
+    name, has_id = collapse("exam_name"), ~blank("id")
     scope = F.concat_ws("::", F.when(blank("paper_id"), "NO_PAPER").otherwise(t("paper_id")), F.when(blank("shift_label"), "NO_SHIFT").otherwise(t("shift_label")))
-    numbered = ~blank("exam_name") & F.col("exam_year").isNotNull() & F.col("question_number").isNotNull()
-    out = F.when(F.col("exam_name").isin(*by_id) if by_id else F.lit(False), key("id", t("id")))
-    if scoped:
-        out = out.when(numbered, key("scope", scope, t("exam_name"), t("exam_year"), t("question_number")))
-    scoped_row = ~blank("shift_label") | ~blank("paper_id")
-    out = out.when(scoped_row & ~blank("id"), key("id", t("id"))).when(numbered, key("exam", t("exam_name"), t("exam_year"), t("question_number")))
-    return out.when(~blank("question_hash"), key("hash", t("question_hash"))).when(~blank("id"), key("id", t("id"))).otherwise(key("row", F.to_json(F.struct(*df.columns))))
+    numbered = (name != "") & F.col("exam_year").isNotNull() & (F.coalesce("question_number", F.lit(0)) > 0)
+    cases = [(numbered, key("paper", scope, name, t("exam_year"), t("question_number"))), (has_id, key("paper-id", scope, t("id")))] if scoped else []
+    own = reduce(lambda a, x: a | ((name == x[0]) & (F.col("exam_year") == x[1])), by_id, F.lit(False))
+    cases += [(own & has_id, key("row", t("id"))), ((~blank("shift_label") | ~blank("paper_id")) & has_id, key("id", t("id"))), (numbered, key("exam", name, t("exam_year"), t("question_number")))]
+    cases += [(~blank("question_hash"), key("hash", t("question_hash"))), (has_id, key("id", t("id")))]
+    return reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed(cases), key("fallback", F.to_json(F.struct(*df.columns))))
 
 
 def newest_first() -> list[Column]:
