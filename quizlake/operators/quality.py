@@ -42,11 +42,11 @@ def _yes(x) -> Column:
 
 
 def _has(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+    return text.rlike(f"(?U){pattern}")
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0)))
 
 
 def _any_of(codes: Column, labels: tuple[str, ...]) -> Column:
