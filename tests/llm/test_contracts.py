@@ -261,8 +261,8 @@ def test_decontamination(docs, rows, spark):
                     hit |= set(range(j, j + n))
                     found.add(name)
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for block in (decontaminate.BLOCK_WORDS, 30):
-        got = decontaminate.decontaminate(docs, bench, block).drop("items").collect()
+    for bits in (decontaminate.BITS, 30):
+        got = decontaminate.decontaminate(docs, bench, bits).drop("items").collect()
         assert by_key(got) == by_key(want)
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
     assert decontaminate.clean(docs, bench).columns == docs.columns
