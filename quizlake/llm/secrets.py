@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import fresh
+
 #: The base kinds in their order, as Java patterns; a shorter hex run or key would fail anyway.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -41,20 +43,34 @@ def let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def running(x: Column, width: int = 256) -> Column:
+    """Running sums of an array of numbers.  Sums within blocks of `width` grow by copying; those of blocks are added to them, so
+    that an array of n numbers costs n * width + (n / width)^2 and not n^2."""
+
+    def sums(a: Column) -> Column:
+        grown = F.aggregate(a, F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("out")), lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out")))
+        return grown["out"]
+
+    def joined(blocks: Column) -> Column:
+        before = let(F.transform(blocks, lambda b: F.element_at(b, -1)), lambda ends: F.concat(F.array(F.lit(0)), sums(ends)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, plus: F.transform(b, lambda v: v + plus)))
+
+    starts = F.sequence(F.lit(1), F.size(x), F.lit(width))
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(let(F.transform(starts, lambda i: sums(F.slice(x, i, F.lit(width)))), joined))
+
+
 def located(text: Column, pattern: str, k: int, least: int = 0) -> Column:
     """Array of (start, k, stop, value) of the pattern's matches; least: characters that group 1 must have."""
 
     def spans(m: Column) -> Column:
-        none = F.array().cast(SPAN)
         parts = F.zip_with(m["gaps"], F.arrays_zip(m["whole"].alias("whole"), m["inner"].alias("inner")), lambda g, s: F.struct(F.length(g).alias("g"), F.length(s["whole"]).alias("n"), F.length(s["inner"]).alias("i"), s["whole"].alias("value")))
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return let(F.filter(parts, lambda x: x["n"].isNotNull()), placed)
 
-        def step(s: Column, x: Column) -> Column:
-            start, stop = s["at"] + x["g"], s["at"] + x["g"] + x["n"]
-            one = F.struct(start.alias("start"), F.lit(k).alias("k"), stop.alias("stop"), x["value"].alias("value"))
-            return F.struct(stop.alias("at"), F.when(x["i"] >= least, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
-
-        return F.aggregate(F.filter(parts, lambda x: x["n"].isNotNull()), begin, step)["out"]
+    def placed(parts: Column) -> Column:
+        # the gaps and matches before a match, joined, are as long as its place; blocks keep the running sums linear
+        sums = let(F.transform(parts, lambda x: x["g"] + x["n"]), lambda a: running(a))
+        made = F.zip_with(parts, sums, lambda x, stop: F.struct(x["i"].alias("i"), F.struct((stop - x["n"]).alias("start"), F.lit(k).alias("k"), stop.alias("stop"), x["value"].alias("value")).alias("span")))
+        return F.transform(F.filter(made, lambda x: x["i"] >= least), lambda x: x["span"])
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if least else 0)).alias("inner"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(pattern), let(found, spans)).otherwise(F.array().cast(SPAN))
@@ -96,24 +112,24 @@ def ratio(value: Column, model: list[float]) -> Column:
     return let(codes, mean)
 
 
-def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, model: list[float] | None = None, base: str = "_base", added: str = "_added", runs: str = "_runs") -> DataFrame:
     """docs with base and added: arrays of (start, k, stop, value), k the place in KINDS, by start and kind."""
     model = train(default_samples(docs.sparkSession)) if model is None else model
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(located(text, ASSIGN, 0, 6), located(text, ACCESS, 1), located(text, HEX, 2))
-    out = docs.withColumn("_base", F.array_sort(base)).withColumn("_runs", located(text, RUN, 3))
+    found = F.concat(located(text, ASSIGN, 0, 6), located(text, ACCESS, 1), located(text, HEX, 2))
+    out = docs.withColumn(base, F.array_sort(found)).withColumn(runs, located(text, RUN, 3))
 
     def secret(x: Column) -> Column:
-        free = ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+        free = ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
         digit, mixed = x["value"].rlike("[0-9]"), x["value"].rlike("[a-z][A-Z].*[a-z][A-Z]")
-        return x["value"].rlike("[A-Za-z]") & (digit | mixed) & free & (ratio(x["value"], model) > F.when(digit, THRESHOLD).otherwise(LETTERS))
+        return x["value"].rlike("[A-Za-z]") & (digit | mixed) & (ratio(x["value"], model) > F.when(digit, THRESHOLD).otherwise(LETTERS)) & free
 
     def parts(x: Column) -> Column:
         moved = lambda y: F.struct((x["start"] + y["start"]).alias("start"), y["k"].alias("k"), (x["start"] + y["stop"]).alias("stop"), y["value"].alias("value"))
         return F.when(x["value"].rlike("[/_=-]"), F.filter(F.transform(located(x["value"], PART, 3), moved), secret)).otherwise(F.array().cast(SPAN))
 
-    added = F.flatten(F.transform("_runs", lambda x: F.when(secret(x), F.array(x)).otherwise(parts(x))))
-    return out.withColumn("_added", F.when(F.size("_runs") > 0, added).otherwise(F.array().cast(SPAN))).drop("_runs")
+    more = F.flatten(F.transform(runs, lambda x: F.when(secret(x), F.array(x)).otherwise(parts(x))))
+    return out.withColumn(added, F.when(F.size(runs) > 0, more).otherwise(F.array().cast(SPAN))).drop(runs)
 
 
 def listed(spans: Column) -> Column:
@@ -129,16 +145,25 @@ def find(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None = None) -> DataFrame:
-    """docs with every span of its text replaced by mark (n_chars follows); texts without spans and all other columns stay."""
-    found = scan(docs, model)
-    spans = F.array_sort(F.concat("_base", "_added"))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """docs with every span of its text replaced by mark (n_chars follows); texts without spans and all other columns stay.
+    Spans that overlap are replaced by one mark, from the first's start to the furthest end."""
+    base, added, runs = fresh(docs, "_base", "_added", "_runs")
+    found = scan(docs, model, base, added, runs)
+    text = F.col("text")
+    span = "array<struct<start:int,stop:int>>"
+    begin = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("stop"), F.array().cast(span).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        put = F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(fresh, put).otherwise(s["out"]).alias("out"))
-
-    clean = let(F.aggregate(spans, begin, step), lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("_base") + F.size("_added") > 0, clean).otherwise(F.col("text"))).drop("_base", "_added")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+        # an open span is closed, and put out, by the first one that starts at its end or later
+        apart = (s["start"] >= 0) & (x["start"] >= s["stop"])
+        closed = F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+        return F.struct(F.when((s["start"] < 0) | apart, x["start"]).otherwise(s["start"]).alias("start"), F.greatest(s["stop"], x["stop"]).alias("stop"), F.when(apart, F.concat(s["out"], closed)).otherwise(s["out"]).alias("out"))
+
+    def joined(s: Column) -> Column:
+        kept = F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+        ends, starts = F.concat(F.array(F.lit(0)), F.transform(kept, lambda x: x["stop"])), F.concat(F.transform(kept, lambda x: x["start"]), F.array(F.length(text)))
+        return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(text, a + 1, b - a)), mark)
+
+    clean = let(F.aggregate(F.array_sort(F.concat(base, added)), begin, step), joined)
+    out = found.withColumn("text", F.when(F.size(base) + F.size(added) > 0, clean).otherwise(text)).drop(base, added)
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*(F.col(f"`{c}`") for c in docs.columns))
