@@ -208,7 +208,8 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
 def _chosen(counted: DataFrame, sizes: DataFrame) -> dict[str, float]:
     """Terms and weights from counts (lang, term, t, c, o) and the languages' sizes (lang, nt, nc, words)."""
     rows = counted.where(F.col("t") >= MIN_DOCS).join(F.broadcast(sizes.where("nt > 0 AND nc > 0")), "lang")
-    tried = rows.groupBy("lang").agg(F.count("*").alias("tried"))
+    # every term of so many rows could have been chosen, whatever their labels are
+    tried = counted.where(F.col("t") + F.col("c") >= MIN_DOCS).groupBy("lang").agg(F.count("*").alias("tried"))
     p, r = F.col("t") / (F.col("t") + F.col("c")), F.col("nt") / (F.col("nt") + F.col("nc"))
     surprise = F.col("t") * F.log(p / r) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - p) / (1 - r))).otherwise(0.0)
     clear = (surprise >= F.log("tried") + 3) & (F.col("t") * F.col("nc") >= ODDS * F.col("c") * F.col("nt")) & (p > r)
