@@ -1,34 +1,69 @@
 """Quality rules [native]: robust multivariate outliers by the minimum covariance determinant.
 
-Each text becomes five numbers on logarithmic scales: words, mean word length, symbols a word, repeated lines a line
-and repeated words a word.  Per language and source a location and covariance are estimated from the h = 75 % of texts
-with the smallest Mahalanobis distance, starting from the mean and covariance of all, then of the central half, and repeating concentration steps, which lower the
-determinant.  Groups of fewer than MIN_GROUP texts are pooled by language, and then all together; a pool below MIN_GROUP
-rejects nothing.  Variances have a floor (FLOORS), so that a statistic that is constant in a group does not make
-every other value an outlier.  A text is rejected if its squared distance exceeds CUTOFF and it lies on the bad side: the
-distance is one-sided, it grows with symbols, repeated lines and repeated words, with few words, and with word
-lengths of either direction.
+Each text becomes four numbers on logarithmic scales: mean word length, symbols a word, repeated lines a line and repeated
+words a word (few words fail the base rule; many are no fault).  Per language and source a location and covariance are
+estimated from the h = 75 % of texts that give the covariance the least determinant.  Concentration steps go on from three
+starts at once, the classical moments, medians with absolute deviations, and the moments of spatial signs, since a start
+that outliers have drawn to them keeps them; each takes the half with the smallest distances, then h at every step, until no
+determinant falls by more than a share of TOLERANCE (at most STEPS steps).  The pool keeps the start with the least one.
+
+Distances are Mahalanobis distances by that covariance, scaled by the consistency factor of h, which makes it the covariance
+of normal vectors.  A text is rejected beyond the chi-squared quantile QUANTILE of as many degrees of freedom.
+Groups of fewer than MIN_GROUP texts are pooled by language, and then all together; a pool below MIN_GROUP rejects
+nothing.  Variances have a floor (FLOORS), so that a statistic that is constant in a group does not make every other value
+an outlier.
 
 The h-subset is found by a histogram of distances, whose size is bounded and which does not depend on the order of rows.
+Models and cuts have a row for each pool and start; they are broadcast while they have at most BROADCAST rows, counted first.
 Null, empty and wordless texts fail the base rule.  Null languages and sources are groups of their own.
 Repeated rows count and are judged as often as they occur.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch
 
-SHARE, STEPS, MIN_GROUP, CUTOFF = 0.75, 3, 60, 45.0
-NAMES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
-#: Smallest standard deviations: octaves for the first two; for the shares, a tenth of the scale 0 to 1.
-FLOORS = (0.5, 0.15, 0.10, 0.10, 0.10)
+SHARE, STEPS, TOLERANCE, MIN_GROUP, QUANTILE, BROADCAST = 0.75, 12, 1e-3, 60, 1 - 1e-6, 20_000
+NAMES = ("x_length", "x_symbols", "x_lines", "x_repeats")
+#: Smallest standard deviations: octaves for the first; for the shares, a tenth of the scale 0 to 1.
+FLOORS = (0.15, 0.10, 0.10, 0.10)
+STARTS = ("classical", "median", "sign")
 SPACE = r"[\x20\x09-\x0D]+"
 BINS = 24  # of an octave of squared distance
 
 
+def chi2_cdf(x: float, k: int) -> float:
+    """The chi-squared distribution of an even number of degrees of freedom."""
+    term, total = 1.0, 1.0
+    for j in range(1, k // 2):
+        term *= x / 2 / j
+        total += term
+    return 1 - math.exp(-x / 2) * total
+
+
+def chi2_quantile(share: float, k: int) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_cdf(mid, k) < share else (lo, mid)
+    return (lo + hi) / 2
+
+
+#: The covariance of the central h of normal vectors is theirs divided by this.
+CONSISTENCY = SHARE / chi2_cdf(chi2_quantile(SHARE, len(NAMES)), len(NAMES) + 2)
+CUTOFF = chi2_quantile(QUANTILE, len(NAMES))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small, by count."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def let(x: Column, f) -> Column:
     """f(x), with x evaluated once for each row."""
     return F.element_at(F.transform(F.array(x), f), 1)
@@ -71,62 +106,91 @@ def transformed(stats: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     share = lambda a, b: F.log2(1 + F.least(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(1.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.select("*", F.log2(n).alias("x_words"), F.log2((F.col("word_chars") + 1) / n).alias("x_length"), F.log2(1 + F.least(F.col("n_symbols") / n, F.lit(7.0))).alias("x_symbols"), share("n_dup_lines", "n_lines").alias("x_lines"), share("n_repeat_words", "n_words").alias("x_repeats"), failed.alias("base_failed"))
+    return stats.select("*", F.log2((F.col("word_chars") + 1) / n).alias("x_length"), F.log2(1 + F.least(F.col("n_symbols") / n, F.lit(7.0))).alias("x_symbols"), share("n_dup_lines", "n_lines").alias("x_lines"), share("n_repeat_words", "n_words").alias("x_repeats"), failed.alias("base_failed"))
 
 
 def pooled(rows: DataFrame) -> DataFrame:
     """rows with pool: language and source, or the language alone, or neither, whichever has MIN_GROUP texts."""
     counts = rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)
-    sized = counts.withColumn("by_lang", F.sum(small).over(Window.partitionBy("lang")))
+    few = F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)
+    sized = counts.withColumn("by_lang", F.sum(few).over(Window.partitionBy("lang")))
     pool = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\0", F.lit("s"), "lang", "source")).when(F.col("by_lang") >= MIN_GROUP, F.concat_ws("\0", F.lit("l"), "lang")).otherwise("*")
     named = sized.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), pool.alias("pool"))
-    return rows.join(named, (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
+    return rows.join(small(named), (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """For each pool the mean and the Cholesky factor of the covariance of its rows, with floors on the diagonal."""
-    p = range(len(NAMES))
-    sums = [F.avg(NAMES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy(F.col("pool").alias("_pool")).agg(*sums, F.count("*").alias("n_in"))
+def factored(sums: DataFrame) -> DataFrame:
+    """Sums with means m0.. and covariances c00.. to models: the Cholesky factor, with floors on the diagonal, and logdet."""
+    p, out = range(len(NAMES)), sums
     for i in p:
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("_pool", "n_in", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in p), F.lit(0.0))
+    return out.select("_pool", "_start", "n_in", logdet.alias("logdet"), *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+
+
+def moments(rows: DataFrame) -> DataFrame:
+    """The model of each pool and start from the rows of its subset."""
+    p = range(len(NAMES))
+    sums = [F.avg(NAMES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
+    return factored(rows.groupBy(F.col("pool").alias("_pool"), F.col("start").alias("_start")).agg(*sums, F.count("*").alias("n_in")))
+
 
+def medians(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """_pool, m0.., s0..: medians and scaled absolute deviations."""
+    p = range(len(NAMES))
+    mid = small(scratch.table(rows.groupBy(F.col("pool").alias("_pool")).agg(*(F.percentile_approx(NAMES[i], 0.5).alias(f"m{i}") for i in p)), "medians"))
+    spread = [(1.4826 * F.percentile_approx(F.abs(F.col(NAMES[i]) - F.col(f"m{i}")), 0.5)).alias(f"s{i}") for i in p]
+    return scratch.table(rows.join(mid, F.col("pool") == F.col("_pool")).groupBy("_pool", *(f"m{i}" for i in p)).agg(*spread), "medians")
 
-def distances(rows: DataFrame, model: DataFrame, bad_side: bool = False) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance by their pool's model; null without one."""
+
+def starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """A model for each pool and each of STARTS."""
+    p = range(len(NAMES))
+    told = medians(rows, scratch)
+    classical = moments(rows.withColumn("start", F.lit(STARTS[0])))
+    flat = told.select("_pool", F.lit(STARTS[1]).alias("_start"), F.lit(0).cast("long").alias("n_in"), *(f"m{i}" for i in p), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
+    # spatial signs: vectors of length 1 from the median, in units of the deviations
+    scaled = rows.join(small(told), F.col("pool") == F.col("_pool"))
+    scaled = scaled.withColumns({f"_y{i}": (F.col(NAMES[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2) for i in p})
+    scaled = scaled.withColumn("_r", F.sqrt(sum((F.col(f"_y{i}") ** 2 for i in p), F.lit(1e-12))))
+    signs = scaled.select("pool", F.lit(STARTS[2]).alias("start"), *((F.col(f"m{i}") + F.col(f"_y{i}") / F.col("_r") * F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2)).alias(NAMES[i]) for i in p))
+    return classical.unionByName(factored(flat)).unionByName(moments(signs))
+
+
+def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance, for each start of their pool; null without a model."""
     out = rows.join(model, F.col("pool") == F.col("_pool"), "left")
-    z: list[Column] = []
     for i, name in enumerate(NAMES):
-        d = F.col(name) - F.col(f"m{i}")
-        if bad_side and name != "x_length":
-            d = F.least(d, F.lit(0.0)) if name == "x_words" else F.greatest(d, F.lit(0.0))
-        z.append((d - sum((F.col(f"_z{k}") * F.col(f"l{i}{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-        out = out.withColumn(f"_z{i}", z[-1])
-    return out.withColumn("d2", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(len(NAMES))), F.lit(0.0))).select(*rows.columns, "d2", "n_in")
+        z = (F.col(name) - F.col(f"m{i}") - sum((F.col(f"_z{k}") * F.col(f"l{i}{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}")
+        out = out.withColumn(f"_z{i}", z)
+    return out.withColumn("d2", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(len(NAMES))), F.lit(0.0))).select(*rows.columns, F.col("_start").alias("start"), "d2", "n_in")
 
 
-def quantiles(rows: DataFrame, value: Column, share: float) -> DataFrame:
-    """_q, for each pool the upper end of the bin that the share of its rows reaches; value: numbers of at least 0."""
-    bins = rows.select("pool", F.floor(F.log2(value + 2.0**-20) * BINS).alias("bin")).groupBy("pool", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("pool").orderBy("bin")
-    run = bins.withColumn("run", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
-    return run.where(F.col("run") >= share * F.col("all")).groupBy(F.col("pool").alias("_qpool")).agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS).alias("_q"))
+def cuts(far: DataFrame, share: float) -> DataFrame:
+    """_qpool, _qstart, _q: the upper end of the bin that the share of the rows reaches."""
+    bins = far.select("pool", "start", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS).alias("bin")).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
+    key = ["pool", "start"]
+    run = bins.withColumn("run", F.sum("n").over(Window.partitionBy(*key).orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy(*key)))
+    return run.where(F.col("run") >= share * F.col("all")).groupBy(F.col("pool").alias("_qpool"), F.col("start").alias("_qstart")).agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS).alias("_q"))
 
 
 def model_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pools' models after the concentration steps."""
-    # the start: half of each pool's rows around its mean in scaled coordinates, then the steps
-    model = scratch.table(moments(rows), "model")
+    """The model of least determinant of each pool."""
+    model = scratch.table(starts(rows, scratch), "model")
     for step in range(STEPS):
-        far = distances(rows, model)
-        cut = quantiles(far, F.col("d2"), 0.5 if not step else SHARE)
-        near = far.join(cut, F.col("pool") == F.col("_qpool")).where(F.col("d2") + 2.0**-20 <= F.col("_q"))
-        model = scratch.table(moments(near), "model")
-    return model
+        far = distances(rows, small(model))
+        cut = small(scratch.table(cuts(far, SHARE if step else 0.5), "cut"))
+        near = far.join(cut, (F.col("pool") == F.col("_qpool")) & (F.col("start") == F.col("_qstart"))).where(F.col("d2") + 2.0**-20 <= F.col("_q"))
+        after = scratch.table(moments(near), "model")
+        was = model.select(F.col("_pool").alias("_p"), F.col("_start").alias("_s"), F.col("logdet").alias("_was"))
+        falls = after.join(was, (F.col("_pool") == F.col("_p")) & (F.col("_start") == F.col("_s"))).where(F.col("_was") - F.col("logdet") > TOLERANCE)
+        model = after
+        if step > 1 and falls.isEmpty():
+            break
+    best = F.row_number().over(Window.partitionBy("_pool").orderBy("logdet", "_start"))
+    return scratch.table(model.withColumn("_best", best).where("_best = 1").drop("_best"), "best")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -134,7 +198,8 @@ def judge(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     stats = scratch.table(statistics(docs), "stats")
     rows = scratch.table(pooled(transformed(stats)), "rows")
-    model = model_of(rows.where("NOT base_failed"), scratch)
-    out = distances(rows, model, bad_side=True)
+    model = model_of(rows.where("NOT base_failed").select("pool", *NAMES), scratch)
+    scratch.drop("medians", "model", "cut")
+    out = distances(rows, small(model)).withColumn("d2", F.col("d2") / CONSISTENCY)
     odd = (F.col("d2") > CUTOFF) & (F.col("n_in") >= SHARE * MIN_GROUP)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
