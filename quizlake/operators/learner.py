@@ -162,11 +162,14 @@ def all_badges(attempts: DataFrame) -> DataFrame:
     return users.select("uid", "xp", "level", "streak", *(c.alias(name) for name, c in earned.items()))
 
 
-def mock_result(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per attempt: right, wrong and skipped, without deleted questions.  questions (question_id, subject, accepted, deleted)."""
+def mock_result(questions: DataFrame, answers: DataFrame, by: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """Right, wrong and skipped by subject (or subject and topic), without deleted questions; accuracy is of those answered,
+    score of all.  questions (question_id, subject, accepted, deleted), answers (question_id, selected)."""
     rows = questions.where(~F.coalesce("deleted", F.lit(False))).join(answers, "question_id", "left")
-    right = F.array_contains("accepted", F.col("selected"))
-    return rows.groupBy("subject").agg(F.sum(F.coalesce(right, F.lit(False)).cast("int")).alias("correct"), F.sum((F.col("selected").isNotNull() & ~right).cast("int")).alias("wrong"), F.sum(F.col("selected").isNull().cast("int")).alias("skipped"), F.count("*").alias("total")).withColumn("accuracy", percent("correct", "total"))
+    given = F.coalesce("selected", F.lit("")) != ""
+    right = given & F.coalesce(F.array_contains("accepted", F.col("selected")), F.lit(False))
+    out = rows.groupBy(*by).agg(F.count_if(right).alias("correct"), F.count_if(given & ~right).alias("wrong"), F.count_if(~given).alias("skipped"), F.count("*").alias("total"))
+    return out.withColumn("accuracy", percent_half_up("correct", F.col("correct") + F.col("wrong"))).withColumn("score", percent_half_up("correct", "total"))
 
 
 def sm2(state: Column, quality: Column) -> Column:
