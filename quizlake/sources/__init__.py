@@ -1 +1 @@
-"""See the package README."""
+"""Reading and writing of tables and artifacts."""
