@@ -102,9 +102,9 @@ def n10_manual_rows(spark, sf):
     return D.manual_rows(asked, AS_OF).select(F.col("exam_name").cast("long").alias("id"), "exam_year", "question_hash", "option_a", "difficulty", "needs_review", "tagging_status")
 
 
-@query(f"WITH {BANK} SELECT id AS question_id FROM q WHERE needs_review AND id % 2 = 0 AND exam_name = 'src1'")
+@query(f"WITH {BANK} SELECT id AS question_id FROM q WHERE needs_review AND id % 2 = 0 AND exam_name = 'src8'")
 def n11_stale_explanations(spark, sf):
-    return D.stale_explanations(bank(spark, sf), explanations(spark, sf), "src1").select("question_id")
+    return D.stale_explanations(bank(spark, sf), explanations(spark, sf), "src8").select("question_id")
 
 
 @query("WITH b AS (SELECT user_id AS uid, event_type AS question_id, value::VARCHAR AS note, ts, event_id FROM events), w AS (SELECT *, row_number() OVER (PARTITION BY uid, question_id ORDER BY ts DESC, note) AS n FROM b WHERE event_id % 3 = 1), o AS (SELECT DISTINCT uid, question_id, 'old' AS note FROM b WHERE event_id % 3 = 0), m AS (SELECT uid, question_id, note FROM w WHERE n = 1 UNION ALL SELECT * FROM o WHERE (uid, question_id) NOT IN (SELECT uid, question_id FROM w)) SELECT * FROM m WHERE (uid, question_id) NOT IN (SELECT uid, question_id FROM b WHERE event_id % 30 = 2)")
