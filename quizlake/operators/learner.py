@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, commission, level, percent, percent_half_up
+from ..sources.versions import written
 
 REWARD = {"right": 10, "wrong": 2}
 LATEST = (F.desc, "at", "attempt_id")
@@ -24,13 +25,16 @@ def rights() -> Column:
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with 1..n in a total order, without one task that holds all rows: rows are dealt by range, counted per range, and
-    numbered from the sum of the counts before."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
-    parts = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    """df with 1..n in a total order, without one task that holds all rows; ties get a rank of their own each, in any order.
+
+    Rows are dealt by range and written once, each with the number of its range; they are numbered within it, and the rows of the
+    ranges before are added.  The number is stored with the row, so however the plans above coalesce or re-run, counts and
+    rows speak of the same ranges."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(counts), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_p", "_own", "_before")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(counts), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
 
 
 def leaderboard(attempts: DataFrame, since: Column | None = None) -> DataFrame:

@@ -138,6 +138,25 @@ def upsert_actions(new: DataFrame, stored: DataFrame, force: bool = False) -> Da
     return told.withColumn("action", action).withColumn("question_hash", F.when(F.col("action") == "rehashed", scoped).otherwise(F.col("question_hash"))).drop("_other", "_same", "_locked")
 
 
+def activated(rows: DataFrame, run: DataFrame) -> DataFrame:
+    """rows with is_active set where an inactive row of an exam of the run is fit to be shown: reviewed, its state derived, enough
+    text, four options, one answer, nothing that blocks it (the last step of E6).  run: exam_name, exam_year, whatever else."""
+    due = run.select(*EXAM).distinct().withColumn("_due", F.lit(True))
+    fit = ~Q._yes("needs_review") & F.col("structural_status").isNotNull() & (F.length(strip("question_text")) >= 15) & (filled(*Q.OPTIONS) == 4) & F.upper(strip("correct_answer")).isin(*Q.LETTERS) & publish_block().isNull()
+    old = rows.alias("o").join(F.broadcast(due).alias("d"), F.expr(" AND ".join(f"o.{c} <=> d.{c}" for c in EXAM)), "left").select("o.*", "_due")
+    now = F.col("is_active") | F.coalesce(F.col("_due") & (F.col("is_active") == F.lit(False)) & fit, F.lit(False))
+    return old.withColumn("is_active", now).drop("_due")
+
+
+def stored(new: DataFrame, old: DataFrame, force: bool = False) -> DataFrame:
+    """The table after a run (E6): rows of new hashed, those that may not be shown left inactive, put in by their action, and what is
+    fit in the run's exams activated.  new and old have the same columns, question_hash among them."""
+    told = upsert_actions(hashed(new).select(*old.columns), old, force).where("action <> 'locked'")
+    told = told.withColumn("is_active", F.coalesce(F.col("is_active"), F.lit(True)) & publish_block().isNull()).select(*old.columns)
+    kept = old.join(told.select(*EXAM, "question_hash"), [*EXAM, "question_hash"], "left_anti")
+    return activated(kept.select(*old.columns).unionByName(told), new)
+
+
 def filled_from(rows: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
     """Blank options filled from a second extraction of the same number, short stems of MCQ replaced; what is still incomplete
     needs review (N1, J16)."""

@@ -1,4 +1,4 @@
-"""Reading and writing of tables and JSON artifacts.  Paging is Spark's: a scan reads all splits of a table, in parallel."""
+"""Reading of tables and JSON artifacts; snapshots are versions (versions.py).  Paging is Spark's: a scan reads all splits of a table, in parallel."""
 
 from __future__ import annotations
 
@@ -17,11 +17,6 @@ def lookup(df: DataFrame, key, column: str = "id") -> DataFrame:
     return df.where(F.col(column) == key).limit(1)
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """A snapshot in place of the one before; readers see it once its commit is done."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def json_artifact(spark: SparkSession, folder: str, name: str = "") -> DataFrame:
     """The named JSON file of a folder, or the one changed last, by name if several were (S6).  A folder in `name` is ignored."""
     if name:
