@@ -11,9 +11,10 @@ most central one, with those outside of the node's component; lists inside one c
 then still lies in different components is joined by prefixes of the full sets in one order, rarest shingle first: sets
 that are similar enough share a shingle near the beginning of both, and what stands behind the first one they share bounds
 their intersection.  That bound is part of the join's condition, so a pair leaves the join only if its sets can be similar
-enough by size and position; it then needs MATCH collisions like any other.  Before two sets are fetched, their counts
-over BUCKETS ranges of hashes bound the intersection once more.  None of these bounds loses a link.  A pair of similarity
-0.85 has fewer than MATCH collisions with a probability of about 1e-4, one of 0.9 with 1e-6.
+enough by size and position; no number of collisions is asked of it.  Before two sets are fetched, their counts
+over BUCKETS ranges of hashes bound the intersection once more.  None of these bounds loses a link.  What can lose one is MATCH,
+for nodes that collide with no other that often: a pair of similarity 0.85 has fewer than MATCH collisions with a probability of
+about 1e-6.  With exact=True the join by position takes all nodes, whatever they collide with, and nothing is lost.
 
 Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if
 their sets are equal, and documents of their own if not; kept is true for each row whose doc_id is the least of its
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import U64, Scratch, fresh, grams, hasher, mix, prepare, space_words
 
-SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 4
+SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 16, 4
 PREFIX = K - MATCH + 1
 BITS, BUCKETS = 1 << 26, 256
 
@@ -129,8 +130,9 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).  exact: lose no link, at the price of a join
+    over the rarest shingles of all sets."""
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
@@ -146,39 +148,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = shared.where(F.size("shared") >= MATCH).select("node", central.alias("central"), F.explode(prefix["key"]).alias("key"))
     lists = lists.withColumn("label", F.col("node")).join(nodes.select("node", "n", F.col("n").alias("common")), "node")
     lists = scratch.table(lists, "lists")
-    chosen = lists.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_id", "n", "sig")
+    chosen = (nodes if exact else lists.select("node").distinct().join(nodes, "node")).select("node", "doc_id", "set_id", "n", "sig")
     chosen = scratch.table(chosen, "chosen")
     full = scratch.table(_full_sets(docs, chosen), "full")
     scratch.drop("posted")
     small = full.select("node", "n", "sig", "spread")
     labels = chosen.select("node", F.col("node").alias("label"))
     for turn in range(ROUNDS + 1):
-        rows = lists.alias("l")
-        if turn < ROUNDS:
+        last = turn == ROUNDS or lists is None
+        if not last:
+            rows = lists.alias("l")
             # the most central node first, then any: each list draws its own
             order = F.struct("central", F.negative("node").alias("order"), *LISTED) if not turn else F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), *LISTED)
             hubs = lists.groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             found = rows.join(hubs, (F.col("l.key") == F.col("_key")) & (F.col("l.label") != F.col("r.label")) & _able())
         else:
-            found = _by_position(scratch, lists, labels, full)
+            found = _by_position(scratch, chosen if exact else lists, labels, full)
         found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        pairs = scratch.table(_matching(found.distinct(), small), "pairs")
+        pairs = scratch.table(_matching(found.distinct(), small, 0 if last else MATCH), "pairs")
         linked = scratch.table(confirmed(pairs, full), "linked")
         if not linked.isEmpty():
             of = labels.select(F.col("node").alias("_node"), "label")
             edges = linked.join(of, F.col("a") == F.col("_node")).select(F.col("label").alias("a"), "b").join(of, F.col("b") == F.col("_node")).select("a", F.col("label").alias("b")).where("a <> b")
             moved = components(scratch, edges).select(F.col("node").alias("_old"), F.col("label").alias("_new"))
             labels = scratch.table(labels.join(moved, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")), "of")
-        if turn < ROUNDS:
-            # without the hubs, whose pairs are done, and the lists that are one component now
-            gone = hubs.select("_key", F.col("r.node").alias("_hub"))
-            rest = lists.drop("label").join(gone, F.col("key") == F.col("_key")).where("node <> _hub").drop("_key", "_hub").join(labels, "node")
-            mixed = rest.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("_key")
-            lists = scratch.table(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key"), "lists")
-            if lists.isEmpty():
+        if last:
+            break
+        # without the hubs, whose pairs are done, and the lists that are one component now
+        gone = hubs.select("_key", F.col("r.node").alias("_hub"))
+        rest = lists.drop("label").join(gone, F.col("key") == F.col("_key")).where("node <> _hub").drop("_key", "_hub").join(labels, "node")
+        mixed = rest.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("_key")
+        lists = scratch.table(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key"), "lists")
+        if lists.isEmpty():
+            if not exact:
                 break
-            if not turn:
-                lists = scratch.table(_held_in_common(lists, full), "bounded")
+            lists = None
+        elif not turn:
+            lists = scratch.table(_held_in_common(lists, full), "bounded")
     scratch.drop("lists", "bounded", "full", "pairs", "linked", "both", "labels", "held", "early")
     placed = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("component_id"))
@@ -189,8 +195,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _matching(pairs: DataFrame, small: DataFrame) -> DataFrame:
-    """The pairs with at least MATCH colliding coordinates, and set sizes and spreads that allow the similarity."""
+def _matching(pairs: DataFrame, small: DataFrame, match: int) -> DataFrame:
+    """The pairs with at least `match` colliding coordinates, and set sizes and spreads that allow the similarity."""
     x, y = (small.select(F.col("node").alias(c), *(F.col(k).alias(k + c) for k in ("n", "sig", "spread"))) for c in "ab")
 
     def run(batches):
@@ -199,7 +205,7 @@ def _matching(pairs: DataFrame, small: DataFrame) -> DataFrame:
             hits = (rows("siga", K) == rows("sigb", K)).sum(axis=1)
             most = np.minimum(rows("spreada", BUCKETS), rows("spreadb", BUCKETS)).sum(axis=1, dtype=np.int64)
             able = 100 * most >= PERCENT * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb")) - most)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((hits >= MATCH) & able, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((hits >= match) & able, pa.bool_()))
 
     near = (100 * F.least("na", "nb")) >= (PERCENT * F.greatest("na", "nb"))
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb", "siga", "sigb", "spreada", "spreadb").mapInArrow(run, "a long, b long")

@@ -1,20 +1,25 @@
 """Quality rules [native]: robust multivariate outliers by the minimum covariance determinant.
 
-Each text becomes four numbers on logarithmic scales: mean word length, symbols a word, repeated lines a line and repeated
-words a word (few words fail the base rule; many are no fault).  Per language and source a location and covariance are
-estimated from the h = 75 % of texts that give the covariance the least determinant.  Concentration steps go on from three
-starts at once, the classical moments, medians with absolute deviations, and the moments of spatial signs, since a start
-that outliers have drawn to them keeps them; each takes the half with the smallest distances, then h at every step, until no
-determinant falls by more than a share of TOLERANCE (at most STEPS steps).  The pool keeps the start with the least one.
+Each text becomes four numbers that differ among good texts: mean word length, marks and symbols a word, capitals a letter, on
+logarithmic scales with a count added, and how its distinct words grow with its words (log distinct / log words).  Repeated
+lines and words lower the last one, symbols raise the second.  Few words fail the base rule; many are no fault.
+
+Per language and source a location and covariance are estimated from the h = 75 % of texts that give the covariance the least
+determinant.  Concentration steps go on from three starts at once, the classical moments, medians with absolute deviations,
+and the moments of spatial signs, since a start that outliers have drawn to them keeps them; each takes the half with the smallest
+distances, then h at every step, until no start's determinant falls below its least so far by more than a share of TOLERANCE.  The
+pool keeps the model of the least determinant.  A step is one pass over the rows: the three distances stand side by side, and
+counts and moments are summed by bin of distance, so that the h-subset and its model come out of a table whose size depends on
+pools and bins alone; it doesn't depend on the order of rows.
 
 Distances are Mahalanobis distances by that covariance, scaled by the consistency factor of h, which makes it the covariance
-of normal vectors.  A text is rejected beyond the chi-squared quantile QUANTILE of as many degrees of freedom.
+of normal vectors.  A text is rejected beyond FARTHEST standard deviations.  That lies further out than quantiles of normal
+vectors do, because these numbers have longer tails, and a clean text lost costs more than a poor one kept.
 Groups of fewer than MIN_GROUP texts are pooled by language, and then all together; a pool below MIN_GROUP rejects
-nothing.  Variances have a floor (FLOORS), so that a statistic that is constant in a group does not make every other value
-an outlier.
+nothing.  The diagonal of the factor is FLOORS at least, below what prose has in any pool, so that only pools all but without variance
+reach them.
 
-The h-subset is found by a histogram of distances, whose size is bounded and which does not depend on the order of rows.
-Models and cuts have a row for each pool and start; they are broadcast while they have at most BROADCAST rows, counted first.
+Models have a row for each pool; they are broadcast while they have at most BROADCAST rows, counted first.
 Null, empty and wordless texts fail the base rule.  Null languages and sources are groups of their own.
 Repeated rows count and are judged as often as they occur.
 """
@@ -28,11 +33,12 @@ from pyspark.sql import functions as F
 
 from .base import Scratch
 
-SHARE, STEPS, TOLERANCE, MIN_GROUP, QUANTILE, BROADCAST = 0.75, 12, 1e-3, 60, 1 - 1e-6, 20_000
-NAMES = ("x_length", "x_symbols", "x_lines", "x_repeats")
-#: Smallest standard deviations: octaves for the first; for the shares, a tenth of the scale 0 to 1.
-FLOORS = (0.15, 0.10, 0.10, 0.10)
+SHARE, TOLERANCE, MIN_GROUP, FARTHEST, BROADCAST = 0.75, 1e-3, 60, 12.0, 20_000
+NAMES = ("x_length", "x_marks", "x_capitals", "x_distinct")
+#: Least standard deviations of each number, given the ones before it.
+FLOORS = (0.02, 0.08, 0.08, 0.003)
 STARTS = ("classical", "median", "sign")
+MARKS, CAPITALS = ".,;:!?\"'()[]{}#*$%&|<>-_/\\+=~^@`", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
 BINS = 24  # of an octave of squared distance
 
@@ -56,7 +62,7 @@ def chi2_quantile(share: float, k: int) -> float:
 
 #: The covariance of the central h of normal vectors is theirs divided by this.
 CONSISTENCY = SHARE / chi2_cdf(chi2_quantile(SHARE, len(NAMES)), len(NAMES) + 2)
-CUTOFF = chi2_quantile(QUANTILE, len(NAMES))
+CUTOFF = FARTHEST**2
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -88,25 +94,25 @@ def repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words and the four base statistics, with the number of lines that hold a word."""
+    """doc_id, lang, source, n_words and the four base statistics, with the distinct words, marks and capitals."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def counted(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words"), F.size(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))).cast("long").alias("n_distinct"))
 
-    by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
-    out = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in ("lang", "source")), let(words, counted).alias("w"), by_line.alias("l"), symbols.alias("n_symbols"))
-    return out.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    by_line = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    of = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
+    out = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in ("lang", "source")), let(words, counted).alias("w"), by_line.alias("n_dup_lines"), of("#*$%&|<>").alias("n_symbols"), of(MARKS).alias("n_marks"), of(CAPITALS).alias("n_capitals"))
+    return out.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.n_distinct", "n_marks", "n_capitals")
 
 
 def transformed(stats: DataFrame) -> DataFrame:
-    n = F.greatest("n_words", F.lit(1))
-    share = lambda a, b: F.log2(1 + F.least(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(1.0)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.select("*", F.log2((F.col("word_chars") + 1) / n).alias("x_length"), F.log2(1 + F.least(F.col("n_symbols") / n, F.lit(7.0))).alias("x_symbols"), share("n_dup_lines", "n_lines").alias("x_lines"), share("n_repeat_words", "n_words").alias("x_repeats"), failed.alias("base_failed"))
+    n, chars = F.col("n_words"), F.col("word_chars")
+    failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+    numbers = {"x_length": F.log2((chars + 1) / (n + 1)), "x_marks": F.log2((F.col("n_marks") + 1) / (n + 1)), "x_capitals": F.log2((F.col("n_capitals") + 1) / (chars + 1)), "x_distinct": F.log2(F.col("n_distinct") + 1) / F.log2(n + 2)}
+    return stats.withColumns(numbers | {"base_failed": failed})
 
 
 def pooled(rows: DataFrame) -> DataFrame:
@@ -119,78 +125,100 @@ def pooled(rows: DataFrame) -> DataFrame:
     return rows.join(small(named), (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
 
 
-def factored(sums: DataFrame) -> DataFrame:
-    """Sums with means m0.. and covariances c00.. to models: the Cholesky factor, with floors on the diagonal, and logdet."""
-    p, out = range(len(NAMES)), sums
-    for i in p:
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}"))
-    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in p), F.lit(0.0))
-    return out.select("_pool", "_start", "n_in", logdet.alias("logdet"), *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+P = range(len(NAMES))
+LOWER = [(i, j) for i in P for j in range(i + 1)]
+PARTS = ("n_in", *(f"m{i}" for i in P), *(f"l{i}{j}" for i, j in LOWER), "logdet")
+LONE = 2.0**-20  # added to squared distances, so that 0 has a bin
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """The model of each pool and start from the rows of its subset."""
-    p = range(len(NAMES))
-    sums = [F.avg(NAMES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    return factored(rows.groupBy(F.col("pool").alias("_pool"), F.col("start").alias("_start")).agg(*sums, F.count("*").alias("n_in")))
+def factored(sums: DataFrame, *keys: str) -> DataFrame:
+    """Sums with n_in, means m0.. and covariances c00.. to models: the Cholesky factor, its diagonal FLOORS at least, and logdet."""
+    out = sums
+    for i, j in LOWER:
+        rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in P), F.lit(0.0))).select(*keys, *PARTS)
+
+
+def moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """The model of all rows of each key."""
+    sums = [F.avg(NAMES[i]).alias(f"m{i}") for i in P] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in LOWER]
+    return factored(rows.groupBy(*keys).agg(*sums, F.count("*").alias("n_in")), *keys)
 
 
 def medians(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """_pool, m0.., s0..: medians and scaled absolute deviations."""
-    p = range(len(NAMES))
-    mid = small(scratch.table(rows.groupBy(F.col("pool").alias("_pool")).agg(*(F.percentile_approx(NAMES[i], 0.5).alias(f"m{i}") for i in p)), "medians"))
-    spread = [(1.4826 * F.percentile_approx(F.abs(F.col(NAMES[i]) - F.col(f"m{i}")), 0.5)).alias(f"s{i}") for i in p]
-    return scratch.table(rows.join(mid, F.col("pool") == F.col("_pool")).groupBy("_pool", *(f"m{i}" for i in p)).agg(*spread), "medians")
+    """pool, m0.., s0..: medians and scaled absolute deviations."""
+    mid = small(scratch.table(rows.groupBy("pool").agg(*(F.percentile_approx(NAMES[i], 0.5).alias(f"m{i}") for i in P)), "medians"))
+    spread = [(1.4826 * F.percentile_approx(F.abs(F.col(NAMES[i]) - F.col(f"m{i}")), 0.5)).alias(f"s{i}") for i in P]
+    return scratch.table(rows.join(mid, "pool").groupBy("pool", *(f"m{i}" for i in P)).agg(*spread), "medians")
 
 
 def starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """A model for each pool and each of STARTS."""
-    p = range(len(NAMES))
+    """pool, start, model: one for each of STARTS."""
     told = medians(rows, scratch)
-    classical = moments(rows.withColumn("start", F.lit(STARTS[0])))
-    flat = told.select("_pool", F.lit(STARTS[1]).alias("_start"), F.lit(0).cast("long").alias("n_in"), *(f"m{i}" for i in p), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
+    classical = moments(rows, "pool").withColumn("start", F.lit(0))
+    flat = factored(told.select("pool", F.lit(0).cast("long").alias("n_in"), *(f"m{i}" for i in P), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER)), "pool").withColumn("start", F.lit(1))
     # spatial signs: vectors of length 1 from the median, in units of the deviations
-    scaled = rows.join(small(told), F.col("pool") == F.col("_pool"))
-    scaled = scaled.withColumns({f"_y{i}": (F.col(NAMES[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2) for i in p})
-    scaled = scaled.withColumn("_r", F.sqrt(sum((F.col(f"_y{i}") ** 2 for i in p), F.lit(1e-12))))
-    signs = scaled.select("pool", F.lit(STARTS[2]).alias("start"), *((F.col(f"m{i}") + F.col(f"_y{i}") / F.col("_r") * F.sqrt(F.col(f"s{i}") ** 2 + FLOORS[i] ** 2)).alias(NAMES[i]) for i in p))
-    return classical.unionByName(factored(flat)).unionByName(moments(signs))
+    scaled = rows.join(small(told), "pool")
+    unit = lambda i: F.greatest(F.col(f"s{i}"), F.lit(FLOORS[i]))
+    scaled = scaled.withColumns({f"_y{i}": (F.col(NAMES[i]) - F.col(f"m{i}")) / unit(i) for i in P})
+    scaled = scaled.withColumn("_r", F.sqrt(sum((F.col(f"_y{i}") ** 2 for i in P), F.lit(1e-12))))
+    signs = moments(scaled.select("pool", *((F.col(f"m{i}") + F.col(f"_y{i}") / F.col("_r") * unit(i)).alias(NAMES[i]) for i in P)), "pool").withColumn("start", F.lit(2))
+    return classical.unionByName(flat).unionByName(signs)
 
 
-def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance, for each start of their pool; null without a model."""
-    out = rows.join(model, F.col("pool") == F.col("_pool"), "left")
+def distance(model: Column) -> Column:
+    """The squared Mahalanobis distance of a row by a model, a struct of PARTS."""
+    z: list[Column] = []
     for i, name in enumerate(NAMES):
-        z = (F.col(name) - F.col(f"m{i}") - sum((F.col(f"_z{k}") * F.col(f"l{i}{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}")
-        out = out.withColumn(f"_z{i}", z)
-    return out.withColumn("d2", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(len(NAMES))), F.lit(0.0))).select(*rows.columns, F.col("_start").alias("start"), "d2", "n_in")
+        z.append((F.col(name) - model[f"m{i}"] - sum((z[k] * model[f"l{i}{k}"] for k in range(i)), F.lit(0.0))) / model[f"l{i}{i}"])
+    return sum((x * x for x in z), F.lit(0.0))
+
 
+def side_by_side(models: DataFrame) -> DataFrame:
+    """pool, and for each start its model in a column k0.. of its own."""
+    of = lambda k: F.max(F.when(F.col("start") == k, F.struct(*PARTS))).alias(f"k{k}")
+    return models.groupBy("pool").agg(*(of(k) for k in range(len(STARTS))))
 
-def cuts(far: DataFrame, share: float) -> DataFrame:
-    """_qpool, _qstart, _q: the upper end of the bin that the share of the rows reaches."""
-    bins = far.select("pool", "start", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS).alias("bin")).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
-    key = ["pool", "start"]
-    run = bins.withColumn("run", F.sum("n").over(Window.partitionBy(*key).orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy(*key)))
-    return run.where(F.col("run") >= share * F.col("all")).groupBy(F.col("pool").alias("_qpool"), F.col("start").alias("_qstart")).agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS).alias("_q"))
+
+def concentrated(rows: DataFrame, models: DataFrame, share: float, few: bool) -> DataFrame:
+    """The models after a step: of the share of the rows with the smallest distances, rounded up to a whole bin.  One pass: rows are
+    summed by bin, relative to the start's own mean, then bins up to the one that the share reaches."""
+    beside = side_by_side(models)
+    both = rows.join(F.broadcast(beside) if few else beside, "pool")
+    far = both.select("pool", *NAMES, F.posexplode(F.array(*(F.struct(F.floor(F.log2(distance(F.col(f"k{k}")) + LONE) * BINS).alias("bin"), *(F.col(f"k{k}")[f"m{i}"].alias(f"o{i}") for i in P)) for k in range(len(STARTS))))).alias("start", "r"))
+    off = [F.col(NAMES[i]) - F.col(f"r.o{i}") for i in P]
+    sums = [F.sum(off[i]).alias(f"a{i}") for i in P] + [F.sum(off[i] * off[j]).alias(f"b{i}{j}") for i, j in LOWER]
+    bins = far.groupBy("pool", "start", F.col("r.bin").alias("bin")).agg(F.count("*").alias("n"), *sums, *(F.first(f"r.o{i}").alias(f"o{i}") for i in P))
+    key = Window.partitionBy("pool", "start")
+    near = bins.withColumns({"_before": F.coalesce(F.sum("n").over(key.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("n").over(key)}).where(F.col("_before") < share * F.col("_all"))
+    own = near.groupBy("pool", "start").agg(F.sum("n").alias("n_in"), *(F.sum(c).alias(c) for c in [*(f"a{i}" for i in P), *(f"b{i}{j}" for i, j in LOWER)]), *(F.first(f"o{i}").alias(f"o{i}") for i in P))
+    own = own.select("pool", "start", "n_in", *((F.col(f"o{i}") + F.col(f"a{i}") / F.col("n_in")).alias(f"m{i}") for i in P), *((F.col(f"b{i}{j}") / F.col("n_in") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n_in") ** 2).alias(f"c{i}{j}") for i, j in LOWER))
+    return factored(own, "pool", "start")
 
 
 def model_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The model of least determinant of each pool."""
+    """pool and the model of least determinant that any start has come to, of h rows at least."""
     model = scratch.table(starts(rows, scratch), "model")
-    for step in range(STEPS):
-        far = distances(rows, small(model))
-        cut = small(scratch.table(cuts(far, SHARE if step else 0.5), "cut"))
-        near = far.join(cut, (F.col("pool") == F.col("_qpool")) & (F.col("start") == F.col("_qstart"))).where(F.col("d2") + 2.0**-20 <= F.col("_q"))
-        after = scratch.table(moments(near), "model")
-        was = model.select(F.col("_pool").alias("_p"), F.col("_start").alias("_s"), F.col("logdet").alias("_was"))
-        falls = after.join(was, (F.col("_pool") == F.col("_p")) & (F.col("_start") == F.col("_s"))).where(F.col("_was") - F.col("logdet") > TOLERANCE)
-        model = after
-        if step > 1 and falls.isEmpty():
+    few = model.count() <= BROADCAST
+    model = scratch.table(concentrated(rows, model, 0.5, few), "model")
+    seen = model.limit(0)
+    while True:
+        model = scratch.table(concentrated(rows, model, SHARE, few), "model")
+        was = seen.groupBy("pool", "start").agg(F.min("logdet").alias("_was"))  # a row for each pool and start
+        falls = model.join(was, ["pool", "start"], "left").where("_was IS NULL OR _was - logdet > %g" % TOLERANCE)
+        ended = falls.isEmpty()
+        seen = seen.unionByName(model)
+        if ended:
             break
-    best = F.row_number().over(Window.partitionBy("_pool").orderBy("logdet", "_start"))
-    return scratch.table(model.withColumn("_best", best).where("_best = 1").drop("_best"), "best")
+    first = F.row_number().over(Window.partitionBy("pool").orderBy("logdet", "start"))
+    return scratch.table(seen.withColumn("_n", first).where("_n = 1").select("pool", *PARTS), "best")
+
+
+def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance, and n_in, the size of the subset; null without a model."""
+    out = rows.join(model.select("pool", F.struct(*PARTS).alias("_model")), "pool", "left")
+    return out.withColumns({"d2": distance(F.col("_model")), "n_in": F.col("_model.n_in")}).drop("_model")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -199,7 +227,7 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = scratch.table(statistics(docs), "stats")
     rows = scratch.table(pooled(transformed(stats)), "rows")
     model = model_of(rows.where("NOT base_failed").select("pool", *NAMES), scratch)
-    scratch.drop("medians", "model", "cut")
+    scratch.drop("medians", "model")
     out = distances(rows, small(model)).withColumn("d2", F.col("d2") / CONSISTENCY)
     odd = (F.col("d2") > CUTOFF) & (F.col("n_in") >= SHARE * MIN_GROUP)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))

@@ -17,7 +17,8 @@ Training uses at most MAX_ROWS labelled rows (those with the smallest hash of th
 repeat such an id one is taken.  Copies say nothing new, but would make every word of a copied text look telling: of rows
 that share one of DRAWS MinHash values of their word 3-grams one stays.  Terms and exceptions are bounded by these rows.
 Null and empty texts score like texts without hits.  Where too little is labelled for a curve (fewer than LEAST rows of a
-kind) it keeps FIXED, and the seed lexicon stands beside what was learnt.
+kind) it keeps FIXED; without terms every text has the score of the curve at 0.  Words known beforehand can be given as `seeds` (none by
+default); they stand beside what was learnt, weighed by how rare they are in the clean rows.
 Labels that occur more than once for an id count as toxic if any of them is.
 """
 
@@ -38,10 +39,10 @@ MAX_ROWS, MIN_DOCS, ODDS, THRESHOLD = 20_000, 3, 8, 0.3
 #: Steps and end of the evidence's histogram; rows of a kind that a curve needs, and the curve without them.
 STEP, MOST, LEAST, FIXED = 0.25, 40.0, 10, (-4.0, 1.2)
 DRAWS = 6
+#: How much rarer a term that clean rows hold must be than it is: what prose makes by chance must not mark it.
+CHANCE = 4.0
 #: Clean words without any of the seeds that are taken as read.
 SEED_WORDS = 1_000_000
-#: Words that count even without labels.
-SEED = ["idiot", "moron", "scum", "stupid", "pathetic", "worthless", "disgusting", "loser"]
 #: What each letter may be disguised as.
 LOOKALIKE = {
     "a": "4аα", "b": "8ь", "c": "сϲ", "d": "ԁ", "e": "3еε", "g": "ɡ", "h": "һ", "i": "1іι", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м", "n": "п", "o": "0оο", "p": "рρ", "q": "ԛ", "s": "5ѕ",
@@ -213,25 +214,39 @@ def _chosen(counted: DataFrame, sizes: DataFrame) -> dict[str, float]:
     p, r = F.col("t") / (F.col("t") + F.col("c")), F.col("nt") / (F.col("nt") + F.col("nc"))
     surprise = F.col("t") * F.log(p / r) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - p) / (1 - r))).otherwise(0.0)
     clear = (surprise >= F.log("tried") + 3) & (F.col("t") * F.col("nc") >= ODDS * F.col("c") * F.col("nt")) & (p > r)
-    rate = (F.col("o") + 2 * F.sqrt("o") + 3) / F.col("words")
-    told = rows.join(F.broadcast(tried), "lang").where(clear).groupBy("term").agg(F.max(rate).alias("rate"), F.sum("t").alias("t"))
+    rate = F.when(F.col("o") > 0, CHANCE).otherwise(1.0) * (F.col("o") + 2 * F.sqrt("o") + 3) / F.col("words")
+    told = rows.join(F.broadcast(tried), "lang").where(clear).groupBy("term").agg(F.max(rate).alias("rate"), F.sum("t").alias("t"), F.sum("c").alias("c"))
     other = counted.join(F.broadcast(sizes.where("words > 0")), "lang").join(F.broadcast(told.select("term")), "term").groupBy("term").agg(F.max(F.col("o") / F.col("words")).alias("other"))
-    found = {r["term"]: (-math.log(max(r["rate"], r["other"])), r["t"]) for r in told.join(other, "term", "left").na.fill(0.0).collect()}
+    found = {r["term"]: (-math.log(max(r["rate"], r["other"])), r["t"], r["c"]) for r in told.join(other, "term", "left").na.fill(0.0).collect()}
     # a beginning goes where one longer term stands for nearly all of its rows, a longer term where a beginning says as much
     longer: dict[str, int] = {}
-    for t, (_, n) in found.items():
+    for t, (_, n, _) in found.items():
         for k in (k for k in PREFIXES if k < len(t.rstrip("*"))):
             longer[f"{t[:k]}*"] = max(n, longer.get(f"{t[:k]}*", 0))
-    found = {t: w for t, (w, n) in found.items() if not (t.endswith("*") and longer.get(t, 0) >= 0.9 * n)}
-    return {t: w for t, w in sorted(found.items()) if not any(found.get(f"{t[:k]}*", -1e9) >= w - math.log(2) for k in PREFIXES if k < len(t.rstrip("*")))}
+    found = {t: x for t, x in found.items() if not (t.endswith("*") and longer.get(t, 0) >= 0.9 * x[1])}
+    need = math.log(max(1, len(found))) + 3
+
+    def says_more(t: str) -> bool:
+        """Whether a term is more toxic than each beginning of it that is there, beyond chance among so many."""
+        _, n, clean = found[t]
+        for k in (k for k in PREFIXES if k < len(t.rstrip("*"))):
+            if (start := found.get(f"{t[:k]}*")) is not None:
+                p, r = n / (n + clean), min(start[1] / (start[1] + start[2]), 1 - 1e-9)
+                if p <= r or n * math.log(p / r) + (clean * math.log((1 - p) / (1 - r)) if clean else 0.0) < need:
+                    return False
+        return True
+
+    return {t: found[t][0] for t in sorted(found) if says_more(t)}
 
 
-def _seeds(counted: DataFrame, words: int) -> dict[str, float]:
-    own = {r["term"]: r["o"] for r in counted.where(F.col("term").isin(SEED)).groupBy("term").agg(F.sum("o").alias("o")).collect()}
-    return {t: -math.log((own.get(t, 0) + 2 * math.sqrt(own.get(t, 0)) + 3) / (words + SEED_WORDS)) for t in SEED}
+def _seeds(counted: DataFrame, words: int, seeds: tuple[str, ...]) -> dict[str, float]:
+    if not seeds:
+        return {}
+    own = {r["term"]: r["o"] for r in counted.where(F.col("term").isin(*seeds)).groupBy("term").agg(F.sum("o").alias("o")).collect()}
+    return {t: -math.log((own.get(t, 0) + 2 * math.sqrt(own.get(t, 0)) + 3) / (words + SEED_WORDS)) for t in seeds}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: tuple[str, ...] = ()) -> dict:
     """Lexicon, exceptions and curve from labelled rows outside the held-out fold."""
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
@@ -247,11 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     counted = scratch.table(rows.mapInArrow(_counts, "half int, lang string, term string, t long, c long, o long").groupBy("half", "lang", "term").agg(*(F.sum(c).alias(c) for c in "tco")), "counted")
     sums = lambda df, key, names: df.groupBy(key).agg(*(F.sum(c).alias(c) for c in names))
     words = sizes.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    seeds = _seeds(counted, words)
+    known_words = _seeds(counted, words, seeds)
     whole = sums(counted, ["lang", "term"], "tco"), sums(sizes, ["lang"], ("nt", "nc", "words"))
-    lexicon = seeds | _chosen(*whole)
+    lexicon = known_words | _chosen(*whole)
     # rows of half 0 are judged by what half 1 chose, and the other way round
-    halves = [seeds | _chosen(counted.where(F.col("half") == h), sizes.where(F.col("half") == h)) for h in (1, 0)]
+    halves = [known_words | _chosen(counted.where(F.col("half") == h), sizes.where(F.col("half") == h)) for h in (1, 0)]
     told = rows.mapInArrow(_phrases(lexicon), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     exceptions = {r["term"] for r in told.where((F.col("c") >= 3) & (F.col("c") >= 4 * F.col("t"))).collect()}
     bins = rows.mapInArrow(_evident(halves, exceptions), "bin long, toxic long, weight double").groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()

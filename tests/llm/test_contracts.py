@@ -94,7 +94,9 @@ def test_toxicity(spark, docs, rows):
 
 def test_toxicity_folding_exceptions_and_no_labels(spark):
     df = spark.createDataFrame([(1, "you IDI0T"), (2, "уоu іdіоt"), (3, "Scum!"), (4, "a scumbled idiotic moronic paint"), (5, ""), (6, None), (7, "i-d-i-o-t st$upid")], "doc_id long, text string")
-    got = {r.doc_id: r for r in toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()}
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.toxicity(df, none).collect()}) == 1  # nothing is known without labels
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, none, seeds=("idiot", "scum", "stupid"))).collect()}
     assert [got[i].n_hits for i in range(1, 8)] == [1, 1, 1, 0, 0, 0, 0] and got[5].score == got[6].score < 0.3 <= got[1].score
     machine = toxicity.automaton({"scum": 3.0, "veju*": 2.0}, {"pond scum"})
     assert toxicity.hits(machine, "pond scum") == [] and toxicity.hits(machine, "the scum vejution xveju") == [(4, 8, 3.0), (9, 13, 2.0)]
