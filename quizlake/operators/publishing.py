@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, filled, percent, regional_ratio, strip, structural_threshold
+from ..sources.versions import written
 from . import quality as Q
 from .catalogue import active
 
@@ -56,14 +57,16 @@ def gaps(rows: DataFrame) -> DataFrame:
 
 def repair_queue(rows: DataFrame, contradictions: DataFrame | None = None) -> DataFrame:
     """Rows with reasons, and a row without an id for each missing number (C8).  contradictions (question_id)."""
-    rows = rows.withColumn("_base", base_reasons()).select("id", *EXAM, "question_number", "_base")
+    rows = written(rows.select("id", *EXAM, "question_number", base_reasons().alias("_base")), "reasons")  # read four times below
     told = rows.join(numbering(rows), EXAM)
     if contradictions is not None:
         marks = contradictions.select(F.col("question_id").alias("id"), F.lit(True).alias("_contra")).distinct()
         told = told.join(marks, "id", "left")
     else:
         told = told.withColumn("_contra", F.lit(None).cast("boolean"))
-    twice = F.count("question_number").over(Window.partitionBy(*EXAM, "question_number")) > 1
+    # rows without a number are no duplicates of each other; they are dealt out, since they may be many
+    salt = F.when(F.col("question_number").isNull(), F.pmod(F.xxhash64("id"), F.lit(256)))
+    twice = F.count("question_number").over(Window.partitionBy(*EXAM, "question_number", salt)) > 1
     more = F.array_compact(F.array(F.when(F.col("_contra"), "answer-explanation-contradiction"), F.when(F.col("judged") & F.col("question_number").isNull(), "unnumbered-questions"), F.when(F.col("question_number").isNotNull() & twice, "duplicate-question-numbers")))
     told = told.withColumn("reasons", F.array_sort(F.array_union("_base", more))).where(F.size("reasons") > 0).withColumn("c", Q.queue_class("reasons"))
     queue = told.select("id", *EXAM, "question_number", "c.issue", "c.severity", "c.blocker", "c.priority", "reasons")
@@ -90,9 +93,9 @@ def assessed(rows: DataFrame, queue: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, papers: DataFrame | None = None, samples: int = 20) -> DataFrame:
     """A report for each exam and year with active rows, and for each latest paper without any."""
     rows = rows.where(active())
-    queue = repair_queue(rows)
+    queue = written(repair_queue(rows), "queue")
     hidden = queue.where("blocker IN ('row', 'paper')")
-    reasons = hidden.select(*EXAM, F.explode("reasons").alias("r")).distinct().groupBy(*EXAM).agg(F.array_sort(F.collect_list("r")).alias("reasons"))  # a dozen labels at most
+    reasons = hidden.groupBy(*EXAM).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))  # sets of a dozen labels
     place = F.row_number().over(Window.partitionBy(*EXAM).orderBy(*queue_order()))
     text = F.concat(F.lit("Q"), F.coalesce(F.col("question_number").cast("string"), F.lit("?")), F.lit(":"), F.col("issue"))
     first = hidden.withColumn("_n", place).where(F.col("_n") <= samples).groupBy(*EXAM).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", text.alias("t")))), lambda x: x["t"]).alias("samples"))
@@ -121,7 +124,7 @@ def visible_ids(rows: DataFrame, queue: DataFrame) -> DataFrame:
 
 def exam_report(rows: DataFrame, explanations: DataFrame) -> DataFrame:
     """Numbers, review, tags, explanations and queue of each exam and year."""
-    queue = repair_queue(rows)
+    queue = written(repair_queue(rows), "queue")
     told = rows.join(explanations.select(F.col("question_id").alias("id"), F.lit(1).alias("_told")).distinct(), "id", "left")
     n = lambda c: F.count_if(c)
     generic = lambda c, names: n(strip(c).isin(*names))

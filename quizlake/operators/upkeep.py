@@ -210,11 +210,14 @@ def attached(rows: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def new_versions(papers: DataFrame, uploads: DataFrame) -> DataFrame:
-    """papers with an upload (id, exam_name, exam_year) as the next version; the version before it is replaced by it."""
+    """papers with each upload (id, exam_name, exam_year) as a next version, in order of their ids; each version is replaced by the one
+    after it (E3, W8)."""
     latest = winners(papers, EXAM, [F.desc("upload_version"), F.desc("id")]).select(*EXAM, F.col("id").alias("_old"), F.col("upload_version").alias("_v"))
-    made = uploads.join(latest, EXAM, "left").select("id", *EXAM, (F.coalesce("_v", F.lit(0)) + 1).cast("int").alias("upload_version"), F.lit("processing").alias("lifecycle_status"), F.col("_old").alias("supersedes"))
-    over = made.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("_was"), F.col("id").alias("_by"))
-    old = papers.join(over, F.col("id") == F.col("_was"), "left").withColumn("lifecycle_status", F.when(F.col("_by").isNotNull(), "replaced").otherwise(F.col("lifecycle_status")))
+    turn = Window.partitionBy(*EXAM).orderBy("id")
+    numbered = uploads.select("id", *EXAM, F.row_number().over(turn).alias("_n"), F.lag("id").over(turn).alias("_before"), F.lead("id").over(turn).alias("_after")).join(latest, EXAM, "left")
+    made = numbered.select("id", *EXAM, (F.coalesce("_v", F.lit(0)) + F.col("_n")).cast("int").alias("upload_version"), F.when(F.col("_after").isNull(), "processing").otherwise("replaced").alias("lifecycle_status"), F.coalesce("_before", "_old").alias("supersedes"))
+    over = numbered.where("_n = 1 AND _old IS NOT NULL").select(F.col("_old").alias("_was"), F.lit(True).alias("_gone"))  # one row a paper
+    old = papers.join(over, F.col("id") == F.col("_was"), "left").withColumn("lifecycle_status", F.when(F.col("_gone"), "replaced").otherwise(F.col("lifecycle_status")))
     return old.select("id", *EXAM, "upload_version", "lifecycle_status", F.lit(None).cast(dict(papers.dtypes)["id"]).alias("supersedes")).unionByName(made)
 
 

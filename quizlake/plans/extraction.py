@@ -1,4 +1,4 @@
-"""Queries on the text of scanned papers and books.  Cases are written out, with the answers fixed by hand beside them."""
+"""Queries on the text of scanned papers and books: marks of such papers are put around the words of whole documents."""
 
 from __future__ import annotations
 
@@ -8,76 +8,88 @@ from ..operators import blocks as B
 from ..operators import extraction as E
 from .blocks import _POINTS, _ROWS, _WEIGHTS, _raw
 from .queries import query, t
+from .questions import _chunks, _chunks_sql, _joined
 
 
-def _of(n, values):
-    """One of the values by the row's number."""
-    return F.element_at(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (n % len(values) + 1).cast("int"))
+# whole texts: every ASCII word of a document, in small letters
+LETTERED = "b AS (SELECT doc_id, lang, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS b FROM documents), d AS (SELECT * FROM b WHERE b <> '')"
 
 
-def _sql(values, n: str = "event_id") -> str:
-    quoted = ["'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if v is not None else "NULL" for v in values]
-    return f"[{', '.join(quoted)}][{n} % {len(values)} + 1]"
+def _lettered(spark, sf):
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ")
+    return t(spark, sf, "documents").select("doc_id", "lang", words.alias("b")).where("b <> ''")
 
 
-_LAYERS = ["1. Pick\n(1) a (2) b (3) c", "Page 3 of 40 text P.T.O. end", "M A S T E R COPY of it", "head\nSECTION - IV\nbody", "x\n7.\n  The second of these", "one\n Space for Rough Work here\ntwo  three", "(a) x  (b) y  (c) z"]
-_LAYERED = ["1. Pick\n(1) a\n(2) b\n(3) c", " text end", " of it", "head\nbody", "x\n7. The second of these", "one\ntwo three", "(a) x\n(b) y\n(c) z"]
-_BROKEN = ["posi ve and na ve ideas", "the sec on of produc ons", "mee ng, compe ng", "a consti" "tu on is given", "Competive based on rivers", "no change", "qualita vely"]
-_WHOLE = ["positive and native ideas", "the section of productions", "meeting, competing", "a constitution is given", "competitive based on rivers", "no change", "qualitatively"]
+def _case(n, values):
+    """One of the columns by the row's number."""
+    return F.coalesce(*(F.when(n % len(values) == k, v if not isinstance(v, str) else F.lit(v)) for k, v in enumerate(values)))
 
 
-@query(f"SELECT event_id, {_sql(_LAYERED)} AS layer, {_sql(_WHOLE)} AS whole FROM events")
+@query(f"""WITH {LETTERED} SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '1. Pick ' || b || chr(10) || '(1) x' || chr(10) || '(2) y' WHEN 1 THEN ' ' || b || ' end' WHEN 2 THEN b || chr(10) WHEN 3 THEN b || chr(10) || 'body' WHEN 4 THEN b || chr(10) || '7. The second' WHEN 5 THEN b || chr(10) || 'two three' ELSE '(a) ' || b || chr(10) || '(b) y' END AS layer,
+['positive ', 'the section ', 'meeting ', 'a constitution ', 'competitive ', 'no change ', 'qualitatively '][doc_id % 7 + 1] || 'x' || replace(b, ' ', '-') AS whole FROM d""")
 def x12_x13_text_layer(spark, sf):
-    n = F.col("event_id")
-    return t(spark, sf, "events").select("event_id", E.text_layer(F.array(_of(n, _LAYERS))).alias("layer"), E.with_ligatures(_of(n, _BROKEN)).alias("whole"))
-
+    n, b = F.col("doc_id"), F.col("b")
+    layer = _case(n, [_joined("1. Pick ", b, " (1) x (2) y"), _joined("Page 3 of 40 ", b, " P.T.O. end"), _joined(b, "\nM A S T E R COPY"), _joined(b, "\nSECTION - IV\nbody"), _joined(b, "\n7.\n  The second"), _joined(b, "\n Space for Rough Work here\ntwo  three"), _joined("(a) ", b, "  (b) y")])
+    broken = _case(n, ["posi ve ", "the sec on ", "mee ng ", "a constitu on ", "Competive ", "no change ", "qualita vely "])
+    return _lettered(spark, sf).select("doc_id", E.text_layer(F.array(layer)).alias("layer"), E.with_ligatures(F.concat(broken, F.lit("x"), F.replace(b, F.lit(" "), F.lit("-")))).alias("whole"))
 
-_CTX = "event_id || '. [type: ' || CASE WHEN event_id % 2 = 0 THEN 'MCQ' ELSE 'match' END || '] ' || event_type || CASE WHEN event_id % 3 = 0 THEN ' ' || repeat('s', 319 - length(event_type)) ELSE '' END || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Options: A. x | D. ' || repeat('y', 120) ELSE chr(10) || 'Options: B. z' END"
 
-
-@query(f"SELECT event_id, {_CTX} AS context FROM events")
+@query(f"""WITH {LETTERED}, w AS (SELECT *, regexp_extract_all(b, '[a-z]+') AS w FROM d) SELECT doc_id, doc_id || '. [type: ' || CASE WHEN doc_id % 2 = 0 THEN 'MCQ' ELSE 'match' END || '] ' || trim(left(b, 320)) ||
+CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Options: A. ' || w[1] || ' | D. ' || left(b, 120) ELSE chr(10) || 'Options: B. ' || w[-1] END AS context FROM w""")
 def x21_tagging_context(spark, sf):
-    n = F.col("event_id")
-    rows = t(spark, sf, "events").select(
-        "event_id", F.concat("event_type", F.when(n % 3 == 0, " " + "s" * 400).otherwise(""), F.lit('\n\n__MATCH__:{"col1": []}')).alias("question_text"), F.when(n % 2 == 1, " match ").otherwise(F.when(n % 4 == 0, "")).alias("question_type"),
-        F.when(n % 4 == 1, " x ").alias("option_a"), F.when(n % 4 > 1, "z").alias("option_b"), F.lit(" ").alias("option_c"), F.when(n % 4 == 1, "y" * 200).alias("option_d"),
+    n, b, w = F.col("doc_id"), F.col("b"), F.split("b", " ")
+    rows = _lettered(spark, sf).select(
+        "doc_id", F.concat(b, F.lit('\n\n__MATCH__:{"col1": []}')).alias("question_text"), F.when(n % 2 == 1, " match ").otherwise(F.when(n % 4 == 0, "")).alias("question_type"),
+        F.when(n % 3 == 1, F.concat(F.lit(" "), w[0], F.lit(" "))).alias("option_a"), F.when(n % 3 == 2, F.element_at(w, -1)).alias("option_b"), F.lit(" ").alias("option_c"), F.when(n % 3 == 1, b).alias("option_d"),
     )
-    return rows.select("event_id", E.tagging_context("event_id").alias("context"))
+    return rows.select("doc_id", E.tagging_context("doc_id").alias("context"))
 
 
-TOPICS = {"Science": ["Space Technology", "Life Science", "Physics"], "Polity": ["Parliament", "Judiciary of India"]}
-WORDS = {"Science": {"isro": "Space Technology", "cell": "Life Science"}}
-_RAW = ["Physics", "physics ", "Modern Physics", "Cells in the body", "deep space missions", "Gardening", "", "india and its courts"]
-_SUBJ = ["Science", "Polity", "Other"]
-_BUCKET = {"Science": ["Physics", "Physics", "Physics", "Life Science", "Space Technology", "Gardening", "", "india and its courts"], "Polity": ["Physics", "physics ", "Modern Physics", "Cells in the body", "deep space missions", "Gardening", "", "Judiciary of India"], "Other": _RAW}
+TOPICS = {"en": ["The", "and that", "Ion thing", "here"], "fr": ["de la", "Ment ou", "tion"], "de": ["Und der", "ung", "keit"]}
+WORDS = {"en": {"ing": "Ion thing", "er": "here"}, "de": {"ver": "ung"}}
+_STOPPED = "list_distinct(list_filter(string_split({x}, ' '), lambda w: w NOT IN ('&', 'of', 'the', 'and', 'in', 'at', 'to', 'a', 'an') AND length(w) > 2))"
 
 
-@query(f"SELECT event_id, CASE {_sql(_SUBJ)} WHEN 'Science' THEN {_sql(_BUCKET['Science'])} WHEN 'Polity' THEN {_sql(_BUCKET['Polity'])} ELSE {_sql(_RAW)} END AS topic FROM events")
+@query(f"""WITH {_chunks_sql(3)}, r AS (SELECT doc_id, n, lang, CASE n % 5 WHEN 0 THEN upper(w[1]) WHEN 1 THEN w[1] || w[2] ELSE array_to_string(w, ' ') END AS raw FROM c JOIN documents USING (doc_id)),
+k AS (SELECT *, lower(raw) AS low, CASE lang {' '.join(f"WHEN '{x}' THEN {v}" for x, v in TOPICS.items())} END AS known,
+  CASE lang {' '.join(f"WHEN '{x}' THEN [" + ', '.join(f"{{'w': '{w}', 't': '{m}'}}" for w, m in v.items()) + ']' for x, v in WORDS.items())} END AS keys FROM r),
+o AS (SELECT *, list_transform(known, lambda t: len(list_intersect({_STOPPED.format(x='low')}, {_STOPPED.format(x='lower(t)')}))) AS common FROM k)
+SELECT doc_id, n, coalesce(list_filter(known, lambda t: t = raw)[1], list_filter(known, lambda t: lower(t) = low)[1], list_filter(known, lambda t: contains(low, lower(t)) OR contains(lower(t), low))[1],
+  list_filter(keys, lambda x: contains(low, x.w))[1].t, CASE WHEN list_max(common) > 0 THEN known[list_position(common, list_max(common))] END, raw) AS topic FROM o""")
 def x22_topic_buckets(spark, sf):
-    n = F.col("event_id")
-    return t(spark, sf, "events").select("event_id", E.topic_bucket(_of(n, _SUBJ), _of(n, _RAW), TOPICS, WORDS).alias("topic"))
+    c = _chunks(spark, sf, 3).join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    w = F.col("w")
+    raw = F.when(F.col("n") % 5 == 0, F.upper(w[0])).when(F.col("n") % 5 == 1, F.concat(w[0], w[1])).otherwise(F.array_join(w, " "))
+    return c.select("doc_id", "n", E.topic_bucket("lang", raw, TOPICS, WORDS).alias("topic"))
 
 
-RAW = ["12. Which of these rivers is longest?\nA) Ganga\nB) Yamuna\nC) Krishna\nD) Kaveri", "stem words of the question (a) one (b) two\nand more (c) three", "no options whatever in this line", "B. x\nA. y", " \n ", "What is it\nA)\nB) two here\nC)"]
-_STEM = ["12. Which of these rivers is longest?", "stem words of the question", "no options whatever in this line", "", "", "What is it"]
-_OPTS = ["A=Ganga;B=Yamuna;C=Krishna;D=Kaveri", "A=one;B=two\nand more;C=three", "", "A=y;B=x", "", "B=two here"]
-_NOTES = ["", "wrapped_option_line", "", "option_anchor_order_irregular,stem_missing", "empty_raw_block", "empty_option_anchor,stem_short"]
+def _block_parts():
+    """The stem of twelve words and the four options of a run of sixteen."""
+    return F.array_join(F.slice("w", 1, 12), " "), [F.col("w")[12 + i] for i in range(4)]
 
 
 def _blocks(spark, sf):
-    return t(spark, sf, "events").select("event_id", _of(F.col("event_id"), RAW).alias("raw_block_text"), F.when(F.col("event_id") % 12 == 6, "x").otherwise("12").alias("question_number_raw"))
+    """Blocks in six forms by turns: options on lines of their own, on one line with a broken one, none, out of order without a stem, blank, and with
+    empty options behind a short stem."""
+    stem, o = _block_parts()
+    raw = _case(F.col("n"), [_joined("12. ", stem, *(x for i, k in enumerate("ABCD") for x in (f"\n{k}) ", o[i]))), _joined(stem, " (a) ", o[0], " (b) ", o[1], "\n", o[3], " (c) ", o[2]), _joined(stem, *(x for y in o for x in (" ", y))), _joined("B. ", o[1], "\nA. ", o[0]), _joined(" \n "), _joined("It\nA)\nB) ", o[1], "\nC)")])
+    return _chunks(spark, sf, 16).select("doc_id", "n", raw.alias("raw_block_text"), F.when(F.col("n") % 12 == 6, "x").otherwise("12").alias("question_number_raw"))
 
 
-@query(f"SELECT event_id, {_sql(_STEM)} AS stem, {_sql(_OPTS)} AS options, [4, 3, 0, 2, 0, 1][event_id % 6 + 1]::INT AS n, [0.9, 0.76, 0.0, 0.42, 0.0, 0.37][event_id % 6 + 1]::DOUBLE AS confidence, {_sql(_NOTES)} AS notes FROM events")
+@query(f"""WITH {_chunks_sql(16)}, p AS (SELECT doc_id, n, n % 6 AS k, array_to_string(w[1:12], ' ') AS stem, w[13:16] AS o FROM c)
+SELECT doc_id, n, CASE k WHEN 0 THEN '12. ' || stem WHEN 1 THEN stem WHEN 2 THEN stem || ' ' || array_to_string(o, ' ') WHEN 5 THEN 'It' ELSE '' END AS stem,
+  CASE k WHEN 0 THEN 'A=' || o[1] || ';B=' || o[2] || ';C=' || o[3] || ';D=' || o[4] WHEN 1 THEN 'A=' || o[1] || ';B=' || o[2] || chr(10) || o[4] || ';C=' || o[3] WHEN 3 THEN 'A=' || o[1] || ';B=' || o[2] WHEN 5 THEN 'B=' || o[2] ELSE '' END AS options,
+  [4, 3, 0, 2, 0, 1][k + 1]::INT AS n_options, [0.9, 0.76, 0.0, 0.42, 0.0, 0.37][k + 1]::DOUBLE AS confidence, ['', 'wrapped_option_line', '', 'option_anchor_order_irregular,stem_missing', 'empty_raw_block', 'empty_option_anchor,stem_short'][k + 1] AS notes FROM p""")
 def x29_isolated_options(spark, sf):
     options = F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return E.isolated(_blocks(spark, sf)).select("event_id", F.col("stem_text").alias("stem"), options.alias("options"), F.col("options_recovered_count").alias("n"), F.col("option_isolation_confidence").alias("confidence"), F.array_join("isolation_notes", ",").alias("notes"))
+    return E.isolated(_blocks(spark, sf)).select("doc_id", "n", F.col("stem_text").alias("stem"), options.alias("options"), F.col("options_recovered_count").alias("n_options"), F.col("option_isolation_confidence").alias("confidence"), F.array_join("isolation_notes", ",").alias("notes"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 12 = 0 THEN 12 END::BIGINT AS question_number, CASE WHEN event_id % 12 = 0 THEN 'Which of these rivers is longest?' END AS question_text, CASE WHEN event_id % 12 = 0 THEN 'Kaveri' END AS option_d, CASE WHEN event_id % 6 > 0 THEN 'normalized_options_missing' WHEN event_id % 12 = 6 THEN 'normalized_question_number_invalid' END AS failure FROM events")
+@query(f"""WITH {_chunks_sql(16)} SELECT doc_id, n, CASE WHEN n % 12 = 0 THEN 12 END::BIGINT AS question_number, CASE WHEN n % 12 = 0 THEN array_to_string(w[1:12], ' ') END AS question_text, CASE WHEN n % 12 = 0 THEN w[16] END AS option_d,
+CASE WHEN n % 6 > 0 THEN 'normalized_options_missing' WHEN n % 12 = 6 THEN 'normalized_question_number_invalid' END AS failure FROM c""")
 def c28_drafts(spark, sf):
     ready = E.isolated(_blocks(spark, sf)).withColumn("status", F.lit(B.STATUS[0]))
-    return E.drafts(ready).select("event_id", "question_number", "question_text", "option_d", "failure")
+    return E.drafts(ready).select("doc_id", "n", "question_number", "question_text", "option_d", "failure")
 
 
 _NAMES = ["implausible_question_number", "question_text_incomplete", "question_text_short", "partial_options", "option_incomplete", "option_isolation_low_confidence", "option_isolation_partial", "possible_solution_leakage", "strong_solution_leakage", "possible_merge", "single_line_fragment", "short_block_shape", "mixed_page_recovery_low_confidence", "mixed_page_recovery", "very_low_extraction_confidence", "low_extraction_confidence", "mixed_page_recovery_risk"]
@@ -91,24 +103,27 @@ def a34_page_readiness(spark, sf):
 
 
 _KEYS = " ".join(f"{i}-{'ABCD'[i % 4]}" for i in range(1, 25))
-PAGES = ["Answer Key\n" + _KEYS, "1. What is one?\nA) x B) y C) z D) w\n2. What is two?\nA) x B) y\n3. And three?", "Solution: so\nShortcut is here", "@book_page free pdf hall", "PROFIT\n1. one question", "plain words", "Solution one method\n1. q\n2. q\n3. q\n4. q"]
-_KIND = ["answer_key_page", "question_page", "solution_page", "ignore_noisy_page", "question_page", "mixed_special_page", "mixed_special_page"]
-_SURE = "[0.95, 0.86, 0.8, 0.94, 0.8, 0.52, 0.73]"
-_HEAD = ["Answer Key", None, None, None, "PROFIT", None, None]
+# words behind an x, so that none of them is a mark of its own
+_PLAIN = "'x' || replace(b, ' ', ' x')"
 
 
-@query(f"SELECT event_id, {_sql(_KIND)} AS page_type, {_SURE}[event_id % 7 + 1]::DOUBLE AS confidence, {_sql(_HEAD)} AS heading FROM events")
+@query(f"""WITH {LETTERED}, p AS (SELECT doc_id, doc_id % 7 AS k, length({_PLAIN}) AS n, len(string_split(b, ' ')) AS words FROM d), s AS (SELECT *, 31 + n AS size, 21 + n - words AS tight FROM p),
+v AS (SELECT *, tight < 300 OR 36 >= tight AS noisy FROM s)
+SELECT doc_id, CASE k WHEN 0 THEN 'answer_key_page' WHEN 1 THEN 'question_page' WHEN 2 THEN 'solution_page' WHEN 3 THEN CASE WHEN noisy AND size < 180 THEN 'ignore_noisy_page' ELSE 'mixed_special_page' END WHEN 4 THEN 'question_page' ELSE 'mixed_special_page' END AS page_type,
+  CASE k WHEN 0 THEN 0.95 WHEN 1 THEN 0.86 WHEN 2 THEN 0.8 WHEN 3 THEN CASE WHEN noisy AND size < 60 THEN 0.94 WHEN noisy AND size < 180 THEN 0.82 ELSE 0.52 END WHEN 4 THEN 0.8 WHEN 5 THEN 0.52 ELSE 0.73 END::DOUBLE AS confidence, CASE k WHEN 0 THEN 'Answer Key' WHEN 4 THEN 'PROFIT' END AS heading FROM v""")
 def x30_page_kinds(spark, sf):
-    n = F.col("event_id")
-    pages = t(spark, sf, "events").select("event_id", _of(n, PAGES).alias("text"), F.when(n % 7 == 0, "Answer Key").when(n % 7 == 4, " - PROFIT :").otherwise("x").alias("top_text"), F.lit(1).alias("column_count"), F.lit(False).alias("has_diagram"), F.lit(0).alias("image_count"), F.lit(0).alias("drawing_count"), F.lit(2).alias("text_block_count"))
-    return E.page_kinds(pages).select("event_id", "page_type", "confidence", "heading")
+    n, b = F.col("doc_id"), F.concat(F.lit("x"), F.replace("b", F.lit(" "), F.lit(" x")))
+    text = _case(n, [_joined("Answer Key\n", _KEYS, "\n", b), _joined("1. What is one?\nA) ", b, " B) y C) z D) w\n2. What is two?\nA) x B) y\n3. And three?"), _joined("Solution: so\nShortcut is here ", b), _joined("@book_page free pdf hall tg @abc ", b), _joined("PROFIT\n1. one question ", b), b, _joined("Solution one method\n1. q\n2. q ", b, "\n3. q\n4. q")])
+    pages = _lettered(spark, sf).select("doc_id", text.alias("text"), F.when(n % 7 == 0, "Answer Key").when(n % 7 == 4, " - PROFIT :").otherwise("x").alias("top_text"), F.lit(1).alias("column_count"), F.lit(False).alias("has_diagram"), F.lit(0).alias("image_count"), F.lit(0).alias("drawing_count"), F.lit(2).alias("text_block_count"))
+    return E.page_kinds(pages).select("doc_id", "page_type", "confidence", "heading")
 
 
-@query("SELECT event_id, ['tcsion_cbt', 'telegram_cbt', 'telegram_cbt', 'appsc_boxed', 'scanned_image', 'digital_mcq', 'appsc_boxed'][event_id % 7 + 1] AS format FROM events")
+@query(f"""WITH {LETTERED}, p AS (SELECT doc_id, doc_id % 7 AS k, length({_PLAIN}) AS n FROM d)
+SELECT doc_id, CASE k WHEN 0 THEN 'tcsion_cbt' WHEN 1 THEN 'telegram_cbt' WHEN 2 THEN 'telegram_cbt' WHEN 3 THEN 'appsc_boxed' WHEN 6 THEN 'appsc_boxed' WHEN 4 THEN 'scanned_image' ELSE CASE WHEN n / 2 < 50 THEN 'scanned_image' ELSE 'digital_mcq' END END AS format FROM p""")
 def x31_formats(spark, sf):
-    n, long = F.col("event_id"), "many words of a printed paper " * 4
-    text = _of(n, [long + "TCSiON CAE Question ID", long, "Q.1 text\nStatus : Answered " + long, "APPSC " + long + "F-I-N-A-L K E Y", "few", long, long])
-    return t(spark, sf, "events").select("event_id", E.paper_format(F.array(text, F.lit(None)), F.when(n % 7 == 6, "x_FinalKey.pdf").otherwise("a.pdf"), n % 7 == 1, n % 7 == 6).alias("format"))
+    n, b = F.col("doc_id"), F.concat(F.lit("x"), F.replace("b", F.lit(" "), F.lit(" x")))
+    text = _case(n, [_joined(b, " TCSiON CAE Question ID"), b, _joined("Q.1 text\nStatus : Answered ", b), _joined("APPSC ", b, " F-I-N-A-L K E Y"), F.substring(b, 1, 90), b, b])
+    return _lettered(spark, sf).select("doc_id", E.paper_format(F.array(text, F.lit(None)), F.when(n % 7 == 6, "x_FinalKey.pdf").otherwise("a.pdf"), n % 7 == 1, n % 7 == 6).alias("format"))
 
 
 @query("WITH p AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 2011 + (event_id // 70) % 15 END AS y FROM events), f AS (SELECT user_id, event_id, last_value(y IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS year FROM p) SELECT user_id, year::INT AS year, min(event_id) AS first_page, max(event_id) AS last_page, count(*) AS pages FROM f WHERE year IS NOT NULL GROUP BY 1, 2")
@@ -118,12 +133,19 @@ def s9_n6_year_spans(spark, sf):
     return E.year_spans(t(spark, sf, "events").select("user_id", "event_id", footer.alias("footer")), "user_id", "event_id")
 
 
-@query("SELECT event_id, [true, false, false, false, false][event_id % 5 + 1] AS ok, ['', 'missing_or_invalid_question_number,empty_question_text', 'missing_option_b', '', ''][event_id % 5 + 1] || CASE WHEN event_id % 5 > 2 THEN 'missing_or_invalid_question_number' ELSE '' END AS reasons, ['', 'missing_or_invalid_question_number,empty_question_text', 'missing_option_2', 'missing_or_invalid_question_number,duplicate_options', 'missing_or_invalid_question_number,option_noise'][event_id % 5 + 1] AS strict, ['Ratio', 'Fallback', 'Fallback', 'Profit and Loss', 'Fallback'][event_id % 5 + 1] AS label FROM events")
+@query(f"""WITH {LETTERED}, p AS (SELECT doc_id, b, doc_id % 5 AS k, regexp_extract_all(b, '[a-z]+') AS w FROM d), v AS (SELECT *, CASE WHEN k = 2 THEN '' ELSE w[-1] END AS last FROM p),
+r AS (SELECT *, CASE WHEN k = 0 OR k = 2 THEN '' ELSE 'missing_or_invalid_question_number' END AS number, CASE WHEN k = 1 THEN 'empty_question_text' ELSE '' END AS body,
+  len(list_distinct(list_filter([w[1], last, w[1] || 'z', w[1] || 'zz'], lambda x: x <> ''))) < CASE WHEN last = '' THEN 3 ELSE 4 END AS twice FROM v),
+n AS (SELECT *, left(b, 100) AS head, length(b) AS size FROM r)
+SELECT doc_id, number = '' AND body = '' AND last <> '' AS ok, array_to_string(list_filter([number, body, CASE WHEN last = '' THEN 'missing_option_b' ELSE '' END], lambda x: x <> ''), ',') AS reasons,
+  array_to_string(list_filter([number, body, CASE WHEN last = '' THEN 'missing_option_2' ELSE '' END, CASE WHEN twice THEN 'duplicate_options' ELSE '' END], lambda x: x <> ''), ',') AS strict,
+  CASE k WHEN 0 THEN CASE WHEN size > 120 THEN 'Fallback' ELSE b END WHEN 1 THEN 'Fallback' WHEN 2 THEN 'Fallback' WHEN 3 THEN trim(head) ELSE 'Fallback' END AS label FROM n""")
 def x34_validators(spark, sf):
-    n = F.col("event_id")
-    rows = t(spark, sf, "events").select("event_id", _of(n, [" 12 ", "1a", "7", "-5", "2.0"]).alias("question_number"), F.when(n % 5 == 1, " ").otherwise("What?").alias("question_text"), F.lit("one").alias("option_a"), F.when(n % 5 == 2, "").when(n % 5 == 3, "O N-e !").otherwise("two").alias("option_b"), F.when(n % 5 == 3, "On-e").otherwise("three").alias("option_c"), F.when(n % 5 == 4, "?!").otherwise("four").alias("option_d"), _of(n, ["== Ratio ==", "", "12.Things", "Profit  and Loss 44", "Chapter 3"]).alias("tag"))
-    a, b = E.checked(), E.checked_strictly()
-    return rows.select("event_id", b["ok"].alias("ok"), F.array_join(a["reasons"], ",").alias("reasons"), F.array_join(b["reasons"], ",").alias("strict"), E.pattern_label("tag", F.lit("Fallback")).alias("label"))
+    n, b, w = F.col("doc_id"), F.col("b"), F.split("b", " ")
+    number = _case(n, [" 12 ", "1a", "7", "-5", "2.0"])
+    rows = _lettered(spark, sf).select("doc_id", number.alias("question_number"), F.when(n % 5 == 1, " ").otherwise(b).alias("question_text"), w[0].alias("option_a"), F.when(n % 5 == 2, " ").otherwise(F.concat(F.lit(" "), F.element_at(w, -1), F.lit(" !"))).alias("option_b"), F.concat(w[0], F.lit("z")).alias("option_c"), F.concat(w[0], F.lit("zz")).alias("option_d"), _case(n, [_joined("== ", b, " =="), "", _joined("12.", b), _joined(F.substring(b, 1, 100), "  44"), _joined("Chapter ", F.substring(b, 1, 50))]).alias("tag"))
+    a, c = E.checked(), E.checked_strictly()
+    return rows.select("doc_id", a["ok"].alias("ok"), F.array_join(a["reasons"], ",").alias("reasons"), F.array_join(c["reasons"], ",").alias("strict"), E.pattern_label("tag", F.lit("Fallback")).alias("label"))
 
 
 @query("WITH r AS (SELECT event_id, user_id % 20 AS book_id, (event_id % 97)::INT AS num, CASE WHEN event_id % 11 > 0 THEN (event_id % 13)::INT END AS page FROM events WHERE event_id % 5 > 0), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, num ORDER BY event_id) AS n FROM r) WHERE n = 1) SELECT book_id, num AS question_number, CASE event_id % 3 WHEN 0 THEN 'Chapter' WHEN 1 THEN 'H' ELSE 'T' END AS pattern_tag, page AS source_page, row_number() OVER (PARTITION BY book_id ORDER BY coalesce(nullif(page, 0), 1000000000), coalesce(nullif(num, 0), 1000000000), 'q' || event_id) AS sort_place FROM w")

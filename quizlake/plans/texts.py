@@ -37,11 +37,16 @@ def x44_times(spark, sf):
     return t(spark, sf, "events").select("event_id", F.date_format(X.timestamp_or(raw, AS_OF), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.5 WHEN 2 THEN 1 ELSE 0 END::DOUBLE AS ratio, CASE event_id % 4 WHEN 0 THEN 'ab' || chr(10) || 'cd' WHEN 1 THEN 'ab' ELSE '' END AS english, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS filled FROM events")
+# every text with letters of two other scripts put in
+_MIXED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', 'क') WHEN 2 THEN replace(text, ' ', ' తె ') ELSE 'कख' END"
+_STRIPPED = "array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(x, '[\\x{0900}-\\x{097F}\\x{0C00}-\\x{0C7F}]', '', 'g'), '[ \\t]{2,}', ' ', 'g'), chr(10)), lambda s: regexp_replace(s, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda s: s <> ''), chr(10))"
+
+
+@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS x FROM documents), l AS (SELECT *, length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(x, '[^\\x{{0900}}-\\x{{097F}}\\x{{0C00}}-\\x{{0C7F}}]', '', 'g')) - length(regexp_replace(x, '[^\\x{{0C46}}]', '', 'g')) AS other FROM m) SELECT doc_id, CASE WHEN letters = 0 THEN 0 ELSE other / letters END AS ratio, {_STRIPPED} AS english, ((trim(x) <> '')::INT + (doc_id % 4 = 0)::INT)::INT AS filled FROM l")
 def x7_x8_x9_regional(spark, sf):
-    n = F.col("event_id")
-    text = F.when(n % 4 == 0, " ab \n\n cd").when(n % 4 == 1, "ab कख").when(n % 4 == 2, "తె").otherwise(None)
-    return t(spark, sf, "events").select("event_id", X.regional_ratio(text).alias("ratio"), X.strip_regional(text).alias("english"), X.filled(text, F.when(n % 4 == 0, "x").otherwise(" \u00a0")).cast("int").alias("filled"))
+    n, d = F.col("doc_id"), t(spark, sf, "documents")
+    text = F.when(n % 4 == 0, F.col("text")).when(n % 4 == 1, F.replace("text", F.lit("e"), F.lit("क"))).when(n % 4 == 2, F.replace("text", F.lit(" "), F.lit(" తె "))).otherwise("कख")
+    return d.select("doc_id", X.regional_ratio(text).alias("ratio"), X.strip_regional(text).alias("english"), X.filled(text, F.when(n % 4 == 0, "x").otherwise("  ")).cast("int").alias("filled"))
 
 
 @query("WITH q AS (SELECT doc_id, source, doc_id % 10 = 0 AS gone, substr('ABCD', (doc_id % 4)::INT + 1, 1) AS a, CASE WHEN doc_id % 3 > 0 THEN substr('ABCD', (doc_id % 5 % 4)::INT + 1, 1) END AS s FROM documents WHERE doc_id % 10 <> 0), v AS (SELECT source AS subject, count(*) FILTER (coalesce(a = s, false)) AS correct, count(*) FILTER (s IS NOT NULL AND a <> s) AS wrong, count(*) FILTER (s IS NULL) AS skipped, count(*) AS total FROM q GROUP BY 1) SELECT *, CASE WHEN correct + wrong = 0 THEN 0 ELSE floor(correct * 100.0 / (correct + wrong) + 0.5) END::BIGINT AS accuracy, floor(correct * 100.0 / total + 0.5)::BIGINT AS score FROM v")

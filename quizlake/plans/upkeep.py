@@ -19,12 +19,16 @@ def f14_f15_n3_n4_row_rules(spark, sf):
     return bank(spark, sf).withColumn("is_cancelled", F.lit(False)).select("id", U.publish_block().alias("reason"), U.recoverable().alias("recoverable"), U.low_quality().alias("low_quality"), U.scrambled("question_text").alias("scrambled"))
 
 
-@query("SELECT event_id AS id, event_id % 9 IN (0, 1, 2, 3, 4, 8) AS fragment FROM events")
+_SHORT = "CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN ' ' || upper(left(text, 1)) || ', ' || substr(text, 2, 1) || ' and' WHEN 2 THEN ' all of the above' || CASE WHEN length(text) % 2 = 0 THEN ' ' ELSE left(text, 1) END WHEN 3 THEN 'Only ' || length(text) % 6 || ' and 3' WHEN 4 THEN 'Both ' || left(text, 1) || ' and ' || right(text, 1) ELSE left(text, 1) END"
+
+
+@query(f"SELECT doc_id, regexp_matches(regexp_replace({_SHORT}, '^\\s+|\\s+$', '', 'g'), '{U.FRAGMENT.replace('(?iU)', '(?i)')}') AS fragment FROM documents")
 def f22_answer_fragments(spark, sf):
-    n = F.col("id")
-    values = ["A", "B, C and", " all of the above ", "Only 1 and 3", "Both A and D", "Alloy", "1 and 2 only", "A is a letter", "D & A are correct"]
-    e = t(spark, sf, "events").select(F.col("event_id").alias("id"))
-    return e.select("id", U.answer_fragment(F.element_at(F.array(*map(F.lit, values)), (n % 9 + 1).cast("int"))).alias("fragment"))
+    n, d, text = F.col("doc_id"), t(spark, sf, "documents"), F.col("text")
+    first, size = F.substring(text, 1, 1), F.length(text)
+    short = F.when(n % 6 == 0, text).when(n % 6 == 1, F.concat(F.lit(" "), F.upper(first), F.lit(", "), F.substring(text, 2, 1), F.lit(" and"))).when(n % 6 == 2, F.concat(F.lit(" all of the above"), F.when(size % 2 == 0, " ").otherwise(first)))
+    short = short.when(n % 6 == 3, F.concat(F.lit("Only "), (size % 6).cast("string"), F.lit(" and 3"))).when(n % 6 == 4, F.concat(F.lit("Both "), first, F.lit(" and "), F.right(text, F.lit(1)))).otherwise(first)
+    return d.select("doc_id", U.answer_fragment(short).alias("fragment"))
 
 
 @query(f"WITH {META}, g AS (SELECT exam_name, exam_year, count(*) AS c, count(*) FILTER (num > 0) AS m, max(question_number) AS top FROM n GROUP BY 1, 2) SELECT id FROM n JOIN g ON n.exam_name = g.exam_name AND n.exam_year IS NOT DISTINCT FROM g.exam_year WHERE num > 0 OR NOT (m >= 0.8 * c OR m >= 50 AND top >= 50 AND m >= 0.5 * c)")
@@ -32,9 +36,9 @@ def f23_numbered_only(spark, sf):
     return U.numbered_only(meta(spark, sf)).select("id")
 
 
-@query("WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS b FROM documents WHERE lang = 'en'), v AS (SELECT doc_id, trim(b) AS b, trim(CASE doc_id % 4 WHEN 0 THEN left(b, 60) WHEN 1 THEN b WHEN 2 THEN replace(left(b, 60), ' ', '') ELSE left(b, 40) || ' zzzz' END) AS a FROM d) SELECT doc_id, a <> '' AND b <> '' AND a <> b AND length(b) >= length(a) + 30 AND (contains(b, a) OR contains(replace(b, ' ', ''), replace(a, ' ', '')) AND length(replace(b, ' ', '')) > length(replace(a, ' ', '')) + 40 OR least(length(a), length(b), 80) >= 30 AND left(a, least(length(a), length(b), 80)) = left(b, least(length(a), length(b), 80)) AND length(b) > length(a) + 40) AS truncated FROM v")
+@query("WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS b FROM documents), v AS (SELECT doc_id, trim(b) AS b, trim(CASE doc_id % 4 WHEN 0 THEN left(b, 60) WHEN 1 THEN b WHEN 2 THEN replace(left(b, 60), ' ', '') ELSE left(b, 40) || ' zzzz' END) AS a FROM d) SELECT doc_id, a <> '' AND b <> '' AND a <> b AND length(b) >= length(a) + 30 AND (contains(b, a) OR contains(replace(b, ' ', ''), replace(a, ' ', '')) AND length(replace(b, ' ', '')) > length(replace(a, ' ', '')) + 40 OR least(length(a), length(b), 80) >= 30 AND left(a, least(length(a), length(b), 80)) = left(b, least(length(a), length(b), 80)) AND length(b) > length(a) + 40) AS truncated FROM v")
 def d14_truncated(spark, sf):
-    n, d = F.col("doc_id"), t(spark, sf, "documents").where("lang = 'en'")
+    n, d = F.col("doc_id"), t(spark, sf, "documents")
     b = F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")
     cut = F.when(n % 4 == 0, F.substring(b, 1, 60)).when(n % 4 == 1, b).when(n % 4 == 2, F.replace(F.substring(b, 1, 60), F.lit(" "), F.lit(""))).otherwise(F.concat(F.substring(b, 1, 40), F.lit(" zzzz")))
     return d.select("doc_id", U.truncated(cut, "text").alias("truncated"))
@@ -63,14 +67,14 @@ def e10_f16_j14_promotable(spark, sf):
     return U.promotable(rows, papers).select("id", "source")
 
 
-_STORED = "s AS (SELECT event_id, 'h' || (event_id % 3000) AS question_hash, CASE WHEN event_id % 2 = 0 THEN 'E1' ELSE 'E2' END AS exam_name, 2020 AS exam_year, event_id % 3 = 0 AS needs_review, event_id % 5 > 0 AS is_active FROM events WHERE event_id % 4 < 2 AND event_id < 3000)"
+_STORED = "s AS (SELECT event_id, 'h' || (event_id % 3000) AS question_hash, CASE WHEN event_id % 2 = 0 THEN 'E1' ELSE 'E2' END AS exam_name, 2020 AS exam_year, event_id % 3 = 0 AS needs_review, event_id % 5 > 0 AS is_active FROM events WHERE event_id % 4 < 2)"
 
 
-@query(f"WITH {_STORED}, f AS (SELECT event_id, 'h' || event_id AS question_hash, CASE WHEN event_id % 7 < 4 THEN 'E1' ELSE 'E2' END AS exam_name FROM events WHERE event_id < 6000), j AS (SELECT f.event_id, bool_or(s.exam_name <> f.exam_name) AS other, bool_or(s.exam_name = f.exam_name) AS same, bool_or(s.exam_name = f.exam_name AND NOT needs_review AND is_active) AS done FROM f LEFT JOIN s USING (question_hash) GROUP BY 1) SELECT event_id AS id, CASE WHEN done THEN 'locked' WHEN other THEN 'rehashed' WHEN same THEN 'update' ELSE 'insert' END AS action FROM j")
+@query(f"WITH {_STORED}, f AS (SELECT event_id, 'h' || event_id AS question_hash, CASE WHEN event_id % 7 < 4 THEN 'E1' ELSE 'E2' END AS exam_name FROM events), j AS (SELECT f.event_id, bool_or(s.exam_name <> f.exam_name) AS other, bool_or(s.exam_name = f.exam_name) AS same, bool_or(s.exam_name = f.exam_name AND NOT needs_review AND is_active) AS done FROM f LEFT JOIN s USING (question_hash) GROUP BY 1) SELECT event_id AS id, CASE WHEN done THEN 'locked' WHEN other THEN 'rehashed' WHEN same THEN 'update' ELSE 'insert' END AS action FROM j")
 def d11_e6_upsert_actions(spark, sf):
     n, e = F.col("event_id"), t(spark, sf, "events")
-    stored = e.where("event_id % 4 < 2 AND event_id < 3000").select(F.concat(F.lit("h"), n % 3000).alias("question_hash"), F.when(n % 2 == 0, "E1").otherwise("E2").alias("exam_name"), F.lit(2020).alias("exam_year"), (n % 3 == 0).alias("needs_review"), (n % 5 > 0).alias("is_active"))
-    new = e.where("event_id < 6000").select(n.alias("id"), F.concat(F.lit("h"), n).alias("question_hash"), F.when(n % 7 < 4, "E1").otherwise("E2").alias("exam_name"), F.lit(2020).alias("exam_year"), F.col("event_type").alias("question_text"), *(F.lit(o).alias(o) for o in Q.OPTIONS))
+    stored = e.where("event_id % 4 < 2").select(F.concat(F.lit("h"), n % 3000).alias("question_hash"), F.when(n % 2 == 0, "E1").otherwise("E2").alias("exam_name"), F.lit(2020).alias("exam_year"), (n % 3 == 0).alias("needs_review"), (n % 5 > 0).alias("is_active"))
+    new = e.select(n.alias("id"), F.concat(F.lit("h"), n).alias("question_hash"), F.when(n % 7 < 4, "E1").otherwise("E2").alias("exam_name"), F.lit(2020).alias("exam_year"), F.col("event_type").alias("question_text"), *(F.lit(o).alias(o) for o in Q.OPTIONS))
     return U.upsert_actions(new, stored).select("id", "action")
 
 
@@ -97,9 +101,9 @@ def _papers(spark, sf):
     return t(spark, sf, "orders").select(k.alias("id"), F.concat(F.lit("E"), F.col("o_custkey") % 40).alias("exam_name"), F.year("o_orderdate").alias("exam_year"), (k % 7).cast("int").alias("upload_version"), F.when(k % 3 == 0, "ingested").otherwise("processing").alias("lifecycle_status"))
 
 
-@query(f"WITH {_P}, l AS (SELECT exam_name, exam_year, arg_max(id, (upload_version, id)) AS old, max(upload_version) AS v FROM p GROUP BY 1, 2), u AS (SELECT DISTINCT -1 - c_custkey AS id, 'E' || (c_custkey % 45) AS exam_name, 1995 AS exam_year FROM customer WHERE c_custkey < 45), m AS (SELECT u.*, coalesce(v, 0) + 1 AS upload_version, 'processing' AS lifecycle_status, old AS supersedes FROM u LEFT JOIN l USING (exam_name, exam_year)) SELECT id, exam_name, exam_year, upload_version, CASE WHEN id IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL) THEN 'replaced' ELSE lifecycle_status END AS lifecycle_status, NULL::BIGINT AS supersedes FROM p UNION ALL SELECT id, exam_name, exam_year, upload_version, lifecycle_status, supersedes FROM m")
+@query(f"WITH {_P}, l AS (SELECT exam_name, exam_year, arg_max(id, (upload_version, id)) AS old, max(upload_version) AS v FROM p GROUP BY 1, 2), u AS (SELECT DISTINCT -1 - c_custkey AS id, 'E' || (c_custkey % 45) AS exam_name, 1995 AS exam_year FROM customer), k AS (SELECT *, row_number() OVER t AS k, lag(id) OVER t AS before, lead(id) OVER t AS after FROM u WINDOW t AS (PARTITION BY exam_name, exam_year ORDER BY id)), m AS (SELECT id, exam_name, exam_year, (coalesce(v, 0) + k)::INT AS upload_version, CASE WHEN after IS NULL THEN 'processing' ELSE 'replaced' END AS lifecycle_status, coalesce(before, old) AS supersedes FROM k LEFT JOIN l USING (exam_name, exam_year)) SELECT id, exam_name, exam_year, upload_version, CASE WHEN id IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL) THEN 'replaced' ELSE lifecycle_status END AS lifecycle_status, NULL::BIGINT AS supersedes FROM p UNION ALL SELECT id, exam_name, exam_year, upload_version, lifecycle_status, supersedes FROM m")
 def e3_w8_new_versions(spark, sf):
-    uploads = t(spark, sf, "customer").where("c_custkey < 45").select((-1 - F.col("c_custkey")).alias("id"), F.concat(F.lit("E"), F.col("c_custkey") % 45).alias("exam_name"), F.lit(1995).alias("exam_year")).distinct()
+    uploads = t(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("id"), F.concat(F.lit("E"), F.col("c_custkey") % 45).alias("exam_name"), F.lit(1995).alias("exam_year")).distinct()
     return U.new_versions(_papers(spark, sf), uploads)
 
 
