@@ -170,3 +170,9 @@ def content_hash(name, year, number, text, *options) -> Column:
     numbered = F.concat_ws("|", *head, F.concat(F.lit("q"), col(number).cast("string")))
     free = F.concat_ws("|", *head, F.lower(strip(text)), *(F.coalesce(col(c), F.lit("")) for c in options))
     return F.sha2(F.when(col(number).isNotNull(), numbered).otherwise(free), 256)
+
+
+def scope(raw) -> Column:
+    """A list with commas as its different parts in capitals, in order, blank ones left out."""
+    parts = F.transform(F.split(F.coalesce(col(raw), F.lit("")), ","), lambda x: F.upper(strip(x)))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))

@@ -413,3 +413,15 @@ def safe_explanations(rows: DataFrame, explanations: DataFrame, ids: DataFrame,
     stale = ~Q._yes("needs_review") & F.contains(F.coalesce("source", F.lit("")), F.lit("unverified-answer"))
     wrong = (F.coalesce("correct_answer", F.lit("")) != "") & implies_other("explanation", "correct_answer")
     return out.where(~(stale | wrong | F.contains(F.col("explanation"), F.lit("[FLAG: verify answer]")))).select("question_id", strip("explanation").alias("explanation"))
+
+
+def listed_repairs(repairs: DataFrame, questions: DataFrame, exam_name: str | None = None, exam_year: int | None = None, status: str | None = "proposed", limit: int = 200) -> DataFrame:
+    """The newest `limit` repairs of a status; with an exam or a year those of them whose question is of it, with exam_name,
+    exam_year and question_number (J6).  The limit goes before the exam, as editors page through all of them."""
+    rows = (repairs if not status else repairs.where(F.col("status") == status)).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    if not exam_name and exam_year is None:
+        return rows
+    of = questions.select(F.col("id").alias("question_id"), "exam_name", "exam_year", "question_number")
+    out = rows.join(of, "question_id")
+    out = out.where(F.col("exam_name") == exam_name) if exam_name else out
+    return out.where(F.col("exam_year") == exam_year) if exam_year is not None else out

@@ -106,6 +106,27 @@ def propagate_images(df: DataFrame, key: str, number: str, image: str, reach: in
     return rows.withColumn(image, F.when(F.col(number) - F.col("_last.n") <= reach, F.col("_last.i"))).drop("_gap", "_run", "_at", "_last")
 
 
+# Fixed values.
+DATA_PARENT = r"(?i)\[(BAR GRAPH|PIE CHART|LINE GRAPH|TABLE|DIAGRAM|FIGURE|HISTOGRAM)\]"
+DATA_REFERENCE = r"(?iUd)\b(the above|the following|given|based on|refer(?:ring)? to|according to|from the)\b.{0,40}(chart|graph|table|diagram|data|figure|passage)"
+
+
+def data_images(rows: DataFrame, key: list[str], reach: int = 10) -> DataFrame:
+    """rows with the image of a data question put on those that speak of it (J19): the next numbers in a row, `reach` at most, up to a gap
+    or another question with an image.  Numbers are meant to be different within a key; rows without one stay as they are."""
+    text, has = F.coalesce("question_text", F.lit("")), F.coalesce("has_image", F.lit(False))
+    numbered = rows.where("question_number > 0")
+    w = Window.partitionBy(*key).orderBy("question_number")
+    parent = (F.coalesce("image_url", F.lit("")) != "") & text.rlike(DATA_PARENT)
+    out = numbered.withColumn("_gap", F.when(F.lag("question_number").over(w) == F.col("question_number") - 1, 0).otherwise(1)).withColumn("_run", F.sum("_gap").over(w))
+    # the last one with an image before, whatever it is, in the same run of numbers
+    before = F.last(F.when(has, F.struct(F.col("question_number").alias("n"), parent.alias("is"), F.col("image_url").alias("url"))), ignorenulls=True).over(Window.partitionBy(*key, "_run").orderBy("question_number").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_b", before)
+    takes = ~has & F.coalesce(F.col("_b.is"), F.lit(False)) & (F.col("question_number") - F.col("_b.n") <= reach) & text.rlike(DATA_REFERENCE)
+    out = out.withColumns({"image_url": F.when(takes, F.col("_b.url")).otherwise(F.col("image_url")), "has_image": has | takes}).select(*rows.columns)
+    return out.unionByName(rows.where("question_number IS NULL OR question_number <= 0").withColumn("has_image", has).select(*rows.columns))
+
+
 def latest_paper(papers: DataFrame, keys: list[str]) -> DataFrame:
     """Of public papers with questions that are not archived: the one with most visible, then most questions, the best status,
     the last version, the last id."""

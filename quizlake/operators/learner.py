@@ -94,11 +94,24 @@ def topic_report(attempts: DataFrame, least: int = 2, last: int = 500, top: int
 
 def pattern_report(attempts: DataFrame, questions: DataFrame, least: int = 2, last: int = 500) -> DataFrame:
     """Accuracy by pattern; an attempt without a tag takes that of its question, questions (id, pattern_tag), and without either doesn't count."""
-    tags = questions.where("id IS NOT NULL").groupBy(F.col("id").alias("question_id")).agg(F.max("pattern_tag").alias("_tag"))
-    rows = recent(attempts, last).join(tags, "question_id", "left").withColumn("pattern_tag", F.coalesce(F.nullif("pattern_tag", F.lit("")), F.nullif("_tag", F.lit(""))))
+    rows = with_pattern_tags(recent(attempts, last), questions)
     return _accuracies(rows.where("pattern_tag IS NOT NULL"), ["pattern_tag"], least)
 
 
+def with_pattern_tags(attempts: DataFrame, questions: DataFrame) -> DataFrame:
+    """attempts with pattern_tag taken from their question where they have none (J2); of questions that repeat an id the larger tag."""
+    tags = questions.where("id IS NOT NULL").groupBy(F.col("id").alias("question_id")).agg(F.max("pattern_tag").alias("_tag"))
+    return attempts.join(tags, "question_id", "left").withColumn("pattern_tag", F.coalesce(F.nullif("pattern_tag", F.lit("")), F.nullif("_tag", F.lit("")))).drop("_tag")
+
+
+def streak_by_day(attempts: DataFrame) -> DataFrame:
+    """uid, day, streak: after each day with attempts, how many days in a row end with it."""
+    days = attempts.select("uid", F.to_date("at").alias("day")).distinct()
+    w = Window.partitionBy("uid").orderBy("day")
+    runs = days.withColumn("_island", F.date_sub("day", F.row_number().over(w)))
+    return runs.select("uid", "day", F.row_number().over(Window.partitionBy("uid", "_island").orderBy("day")).alias("streak"))
+
+
 def strongest_gap(attempts: DataFrame, benchmark: int = 70, least: int = 5) -> DataFrame:
     """Whole percent (half up) of subjects with enough attempts, and how far that is above the benchmark."""
     out = attempts.groupBy("uid", "subject").agg(F.count("*").alias("total"), rights().alias("correct")).where(F.col("total") >= least)

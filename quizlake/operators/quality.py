@@ -198,6 +198,27 @@ def repaired(rows: DataFrame, proposals: DataFrame, repair_type: str = "answer_c
     return out.withColumns(said).drop("_q", "_patch", "_had")
 
 
+def with_history(rows: DataFrame, proposals: DataFrame, types: tuple[str, ...] = ("answer_correction", "options_cleanup")) -> DataFrame:
+    """rows with all proposed repairs of these types put in, oldest first, so that of two that set a column the newer one holds
+    (created_at, then id); the state is derived once, after them (C25 with C3).  applied holds the ids of the repairs that count, and
+    overruled those of which nothing is left.  A repair without a question or a patch is neither.
+
+    What each column takes is the newest of its values, found by a maximum for each question and column, so a long history of one
+    question is never gathered; only its columns are."""
+    due = proposals.where((F.col("status") == "proposed") & F.col("repair_type").isin(*types) & F.col("question_id").isNotNull())
+    each = due.select("question_id", "created_at", "id", F.explode("proposed_patch").alias("key", "value"))
+    turn = F.struct(F.col("created_at").isNotNull(), "created_at", "id")
+    newest = each.groupBy("question_id", "key").agg(F.max_by("value", turn).alias("value"), F.max_by("id", turn).alias("by"))
+    final = newest.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_patch"), F.array_sort(F.collect_set("by")).alias("applied"))
+    lost = each.select("question_id", "id").distinct().join(newest.select(F.col("question_id"), F.col("by").alias("id")).distinct(), ["question_id", "id"], "left_anti").groupBy(F.col("question_id").alias("_l")).agg(F.array_sort(F.collect_list("id")).alias("overruled"))
+    joined = rows.join(final.withColumnRenamed("question_id", "_q"), F.col("id") == F.col("_q"), "left").withColumn("_had", F.col("explanation_status") == "generated")
+    touched = with_quality(patched(joined, "_patch"), "_had")
+    said = {c: F.coalesce(F.try_element_at(F.col("_patch"), F.lit(c)).try_cast(k), F.col(c)) for c, k in touched.dtypes if c in STATE and k != "array<string>"}
+    out = touched.withColumns(said).join(lost, F.col("id") == F.col("_l"), "left")
+    none = F.array().cast(dict(due.select(F.array("id").alias("x")).dtypes)["x"])
+    return out.withColumns({"applied": F.coalesce("applied", none), "overruled": F.coalesce("overruled", none)}).drop("_q", "_patch", "_had", "_l")
+
+
 def hidden_by_flags(flags: DataFrame, at_least: int = HIDE_AT) -> DataFrame:
     """question_id, flags, hidden: one flag counts per user and question, and all flags without a user (R6, batch)."""
     users = F.count_distinct("user_id") + F.count(F.when(F.col("user_id").isNull(), 1))

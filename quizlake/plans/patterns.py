@@ -56,6 +56,14 @@ _TABLE = ", ".join(f"({k}, {_text(r.tag)}, {_text(r.skill)}, {r.confidence}, {_t
 _TAIL = "CASE " + " ".join(f"WHEN trap = {_text(k)} THEN {_text(v)}" for k, v in P.TRAP_HINT.items()) + " ELSE '' END"
 
 
+_MARKED_SQL = (
+    f"p AS (SELECT id, {_PARTS[0]} AS question, concat_ws(' ', {', '.join(_PARTS)}) AS whole, concat_ws(' ', coalesce(subject, ''), coalesce(topic, ''), coalesce(subtopic, '')) AS about FROM s), "
+    f"r AS (SELECT * FROM (VALUES {_TABLE}) AS v(n, tag, skill, confidence, reason, hint)), "
+    f"k AS (SELECT *, CASE WHEN question <> '' THEN {_chain(P.TAGS, _tagged, lambda k, r: k)} END AS k FROM p), a AS (SELECT * FROM k LEFT JOIN r ON k.k = r.n), "
+    f"b AS (SELECT *, {_chain(P.TRAPS, _marked, lambda k, r: _text(r.name))} AS trap FROM a), m AS (SELECT *, {_chain(P.STYLES, _marked, lambda k, r: _text(r.name))} AS style FROM b)"
+)
+
+
 @query(
     f"WITH {BANK}, {_ASKED}, p AS (SELECT id, {_PARTS[0]} AS question, concat_ws(' ', {', '.join(_PARTS)}) AS whole, concat_ws(' ', coalesce(subject, ''), coalesce(topic, ''), coalesce(subtopic, '')) AS about FROM s), "
     f"r AS (SELECT * FROM (VALUES {_TABLE}) AS v(n, tag, skill, confidence, reason, hint)), "
