@@ -15,8 +15,8 @@ c the longest context of the table before it, A the escapes from all contexts en
 answers less the escapes below it.  One lookup a byte gives g, and c of the next byte.  Costs are integers (2^-16 bits), so sums
 don't depend on blocks or order.
 
-Training reads text and lang of rows outside of the held-out fold, at most MAX_ROWS rows (those with the smallest hash of the
-id) of each of the MAX_LANGS most frequent languages, whole texts; a documented bound.  Of their n-grams a language keeps those
+Training reads text and lang of rows outside of the held-out fold, at most MAX_ROWS rows (those with the smallest hash of id
+and text) of each of the MAX_LANGS most frequent languages, whole texts; a documented bound.  Rows that repeat both train once.  Of their n-grams a language keeps those
 of at least m occurrences, m the smallest count that leaves at most MAX_GRAMS (fewer where the table would grow beyond ENTRIES).
 
 score is the probability of the predicted language if each was as likely before.  Texts that are null or hold no letter, and
@@ -190,14 +190,17 @@ def fit(docs: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS, max_grams
     """The model from the rows of docs (doc_id, text, lang) outside of the held-out fold."""
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    known = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_crc() % 4 != 2))
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = known.select("lang", "doc_id", F.xxhash64("text").alias("_text")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_text"))).where(F.col("_n") <= max_rows)
-    ids = scratch.table(ids, "drawn")  # at most max_rows ids a language
-    langs = sorted(r.lang for r in ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
-    pick = ids.where(F.col("lang").isin(langs)).select("lang", "doc_id", "_text").distinct()
-    rows = known.withColumn("_text", F.xxhash64("text")).join(F.broadcast(pick), ["lang", "doc_id", "_text"], "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= max_rows).select("lang", "text")
+    known = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_crc() % 4 != 2))
+    known = known.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_bucket", F.shiftright("_h", 48))
+    # how far into the order of hashes a language has to go is told by its counts in 2^16 ranges of them
+    counts = scratch.table(known.select("lang", "_h", "_bucket").distinct().groupBy("lang", "_bucket").agg(F.count("*").alias("n")), "drawn")
+    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.where(F.col("lang").isin(langs)).withColumn("_before", before).where(F.col("_before") < max_rows).groupBy("lang").agg(F.max("_bucket").alias("_last"))
+    near = known.join(F.broadcast(last), "lang").where(F.col("_bucket") <= F.col("_last"))  # MAX_LANGS rows are sent
+    own = near.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= max_rows)
+    pick = scratch.table(own.select("lang", "_h"), "drawn")
+    rows = near.join(F.broadcast(pick), ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")  # max_rows a language
     counted = scratch.table(rows.repartition(F.xxhash64("text")).mapInArrow(_counted(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     most = max(256, min(max_grams, ENTRIES // max(1, len(langs)) ** 2))
     sizes: dict[str, list] = {x: [] for x in langs}
