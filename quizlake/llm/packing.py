@@ -71,12 +71,12 @@ def encoder(path: str):
 
 
 def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """For each row: its partition and place, the number of ids, the CRCs of its whole windows, and its tail."""
+    """For each row: its partition, the whole windows before it there, the number of ids, the CRCs of its whole windows, and its tail."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, place, seen = encoder(path), TaskContext.get().partitionId(), 0, [0] * window
+        encode, part, full, rows, seen = encoder(path), TaskContext.get().partitionId(), 0, 0, [0] * window
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ARROW.names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -84,21 +84,21 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 n = len(ids) // 4
                 tail = n % window
                 cut = (n - tail) * 4
-                for k, v in zip(ARROW.names, (part, place, doc_id, n, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, cut, 4 * window)], tail, seen[tail], np.frombuffer(ids[cut:], "<u4").astype("<u2" if max_id < 65536 else "<u4").tobytes()), strict=True):
+                for k, v in zip(ARROW.names, (part, full, doc_id, n, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, cut, 4 * window)], tail, seen[tail], np.frombuffer(ids[cut:], "<u4").astype("<u2" if max_id < 65536 else "<u4").tobytes()), strict=True):
                     cols[k].append(v)
-                place += 1
+                rows, full = rows + 1, full + n // window
                 seen[tail] += 1
-                if place % 500 == 0:
+                if rows % 500 == 0:
                     yield pa.RecordBatch.from_pydict(cols, schema=ARROW)
                     cols = {k: [] for k in ARROW.names}
             yield pa.RecordBatch.from_pydict(cols, schema=ARROW)
 
     with open(path, encoding="utf-8") as f:
         max_id = max(json.load(f)["model"]["vocab"].values())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, place long, doc_id long, n long, crcs array<long>, tail int, rank long, ids binary"), 2 if max_id < 65536 else 4
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, full long, doc_id long, n long, crcs array<long>, tail int, rank long, ids binary"), 2 if max_id < 65536 else 4
 
 
-ARROW = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary())])
+ARROW = pa.schema([("part", pa.int32()), ("full", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary())])
 
 
 def combinations(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -175,7 +175,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         counts[row["tail"]] = row["n"]
     sent = spark.sparkContext.broadcast(plan(counts, window))
     before = per_part.select(F.col("part").alias("_part"), F.col("tail").alias("_tail"), (F.sum("n").over(Window.partitionBy("tail").orderBy("part")) - F.col("n")).alias("before"))
-    placed = tokens.join(before, (F.col("part") == F.col("_part")) & (F.col("tail") == F.col("_tail")), "left").select("part", "place", "doc_id", "n", "crcs", "tail", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"), "ids")
+    # whole windows are numbered through all partitions, a row for each of which is sent
+    ends = tokens.groupBy("part").agg(F.sum(F.size("crcs")).alias("n"))
+    bases = ends.select(F.col("part").alias("_own"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_base"))
+    tokens = tokens.join(F.broadcast(bases), F.col("part") == F.col("_own")).withColumn("full", F.col("full") + F.col("_base"))
+    placed = tokens.join(before, (F.col("part") == F.col("_part")) & (F.col("tail") == F.col("_tail")), "left").select("full", "doc_id", "n", "crcs", "tail", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"), "ids")
 
     def run(batches):
         segments, residual, planned = sent.value
@@ -185,7 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
             for r in batch.to_pylist():
                 doc_id, n, tail = r["doc_id"], r["n"], r["tail"]
                 for i, crc in enumerate(r["crcs"]):
-                    out.append((doc_id, i * window, window, crc, n, 1 << 62 | r["part"] << 42 | r["place"] << 20 | i, 0))
+                    out.append((doc_id, i * window, window, crc, n, 1 << 62 | r["full"] + i, 0))
                 if not tail:
                     continue
                 ids = np.frombuffer(r["ids"], f"<u{width}").astype("<u4").tobytes()
