@@ -84,6 +84,23 @@ def english(x) -> Column:
     return (n > 0) & ~garbled(x) & (matched(x, r"[\x21-\x7E]") > 0.3 * n)
 
 
+# Exams whose papers are trusted, and the scripts of te, hi, mr, ta, kn, ml, bn and gu.
+TRUSTED_EXAMS = ("upsc", "cisf", "nda", "cds")
+REGIONAL_SCRIPTS = r"[\u0900-\u097F\u0980-\u09FF\u0A80-\u0AFF\u0B80-\u0BFF\u0C00-\u0C7F\u0C80-\u0CFF\u0D00-\u0D7F&&\p{L}]"
+
+
+def kept_as_english(x, exam_name=None) -> Column:
+    """Whether a question stays in an English bank (F20): not garbled, and English or at least in none of the regional languages, which
+    the script of most of its letters tells.  Of trusted exams all stay that have a text and are not garbled."""
+    text = F.coalesce(col(x), F.lit(""))
+    regional = 2 * matched(text, REGIONAL_SCRIPTS) > matched(text, r"\p{L}")
+    kept = (text != "") & ~garbled(text) & (english(text) | ((matched(text, PRINTABLE) > 0) & ~regional))
+    if exam_name is None:
+        return kept
+    trusted = F.lower(F.coalesce(col(exam_name), F.lit(""))).rlike("|".join(TRUSTED_EXAMS))
+    return F.when(trusted, (text != "") & ~garbled(text)).otherwise(kept)
+
+
 def tokens(x, stop: tuple[str, ...] = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")) -> Column:
     """The set of words of 2 characters and more without stop words, in order of first occurrence."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)))

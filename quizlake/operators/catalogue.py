@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, collapse, exam_type, first_token, percent_half_up, strip
+from ..sources.versions import written
 from .identity import identity, merged, winners
 
 LAST = 10**9
@@ -138,7 +139,9 @@ def first_rows(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
 
 
 def public_page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """One page of deduplicated rows with the total, whether more follow and the next cursor."""
+    """One page of deduplicated rows with the total, whether more follow and the next cursor.  rows are written once, so that
+    what made them doesn't run for the page and the total each."""
+    rows = written(rows, "page")
     total = rows.groupBy().agg(F.count("*").alias("total")).scalar()
     end = F.least(F.lit(offset + limit).cast("long"), F.col("total"))
     page = rows.orderBy(*order).offset(max(0, offset)).limit(limit).withColumn("total", total)
@@ -146,8 +149,8 @@ def public_page(rows: DataFrame, order: list[Column], offset: int, limit: int) -
 
 
 def sampled(df: DataFrame, count: int, seed: int, **equal) -> DataFrame:
-    """`count` rows drawn at random among those with the given facets."""
-    return facets(df, **equal).orderBy(F.rand(seed)).limit(count)
+    """`count` rows drawn among those with the given facets: those of the least MD5 of seed and id, whatever the partitions are."""
+    return facets(df, **equal).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), "id").limit(count)
 
 
 def practice_key() -> Column:

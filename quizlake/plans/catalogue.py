@@ -115,7 +115,7 @@ def t3_t6_cursors_and_numbers(spark, sf):
     return v.select("event_id", G.cursor("c").alias("cursor"), G.safe_number("c").alias("number"))
 
 
-@query("")
+@query(f"WITH {META} SELECT id, subject, difficulty FROM q WHERE subject = 'Subject 4' AND difficulty = 'Easy' ORDER BY md5('7:' || id), id LIMIT 10")
 def t7_t8_v1_random_sample(spark, sf):
     """Ten rows drawn by a seed among those of one subject and difficulty."""
     return G.sampled(meta(spark, sf), 10, 7, subject="Subject 4", topic=None, difficulty="Easy").select("id", "subject", "difficulty")

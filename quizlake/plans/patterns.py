@@ -77,7 +77,7 @@ def c17_c20_patterns(spark, sf):
     return P.classified(asked(spark, sf)).select("id", *P.RESULTS)
 
 
-@query("")
+@query(f"WITH {BANK}, {_ASKED}, {_MARKED_SQL} SELECT tag AS pattern_tag, trap AS trap_tag, count(*) AS questions FROM m GROUP BY 1, 2", reserved=False)
 def v4_tag_counts(spark, sf):
     """How many questions have each tag and trap, those that no rule settles included."""
     return P.classified(asked(spark, sf)).groupBy("pattern_tag", "trap_tag").agg(F.count("*").alias("questions"))

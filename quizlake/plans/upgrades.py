@@ -141,6 +141,18 @@ def c18_c19_traps_and_styles(spark, sf):
     return out.groupBy("trap_tag", "question_style").agg(F.count("*").alias("questions"), F.count("pattern_tag").alias("tagged"))
 
 
+_TEXT = "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[a-z]', 'త', 'g') WHEN 2 THEN regexp_replace(text, '[a-z]', 'ж', 'g') WHEN 3 THEN '' ELSE regexp_replace(text, '[A-Za-z .]', 'é', 'g') END"
+_N = "length(regexp_replace({x}, '[\\s\\p{{Z}}\\p{{C}}]', '', 'g'))"
+
+
+@query(rf"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UPSC ' || source ELSE source END AS exam, {_TEXT} AS x FROM documents), n AS (SELECT *, {_N.format(x='x')} AS n, length(regexp_replace(x, '[^\x{{0080}}-ÿ]|[\p{{Z}}\p{{C}}]', '', 'g')) AS high, length(regexp_replace(x, '[^!-~]', '', 'g')) AS low, length(regexp_replace(x, '[^త]', '', 'g')) AS telugu, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) AS letters FROM d), g AS (SELECT *, n >= 8 AND high > 0.08 * n AS garbled FROM n) SELECT doc_id, x <> '' AND NOT garbled AND (exam LIKE 'UPSC %' OR n > 0 AND (low > 0.3 * n OR 2 * telugu <= letters)) AS kept FROM g")
+def f20_english_questions(spark, sf):
+    n, d = F.col("doc_id"), t(spark, sf, "documents")
+    text = F.when(n % 5 == 0, F.col("text")).when(n % 5 == 1, F.regexp_replace("text", "[a-z]", "త")).when(n % 5 == 2, F.regexp_replace("text", "[a-z]", "ж")).when(n % 5 == 3, "").otherwise(F.regexp_replace("text", "[A-Za-z .]", "é"))
+    exam = F.when(n % 3 == 0, F.concat(F.lit("UPSC "), "source")).otherwise(F.col("source"))
+    return d.select("doc_id", X.kept_as_english(text, exam).alias("kept"))
+
+
 # model answers
 
 
