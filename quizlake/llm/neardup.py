@@ -14,7 +14,7 @@ their intersection.  That bound is part of the join's condition, so a pair leave
 enough by size and position; no number of collisions is asked of it.  Before two sets are fetched, their counts
 over BUCKETS ranges of hashes bound the intersection once more.  None of these bounds loses a link.  What can lose one is MATCH,
 for nodes that collide with no other that often: a pair of similarity 0.85 has fewer than MATCH collisions with a probability of
-about 1e-6.  With exact=True the join by position takes all nodes, whatever they collide with, and nothing is lost.
+2e-5.  With exact=True the join by position takes all nodes, whatever they collide with, and nothing is lost.
 
 Null, empty and wordless texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one document if
 their sets are equal, and documents of their own if not; kept is true for each row whose doc_id is the least of its
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import U64, Scratch, fresh, grams, hasher, mix, prepare, space_words
 
-SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 16, 4
+SHINGLE, PERCENT, K, MATCH, ROUNDS = 3, 85, 32, 18, 4
 PREFIX = K - MATCH + 1
 BITS, BUCKETS = 1 << 26, 256
 
