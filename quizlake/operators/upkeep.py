@@ -271,14 +271,27 @@ def resolved(flags: DataFrame, done: DataFrame) -> DataFrame:
     return flags.select("question_id").distinct().join(left.groupBy("question_id").agg(F.count("*").alias("flags")), "question_id", "left").na.fill(0, ["flags"])
 
 
+def _containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """_i, _o for the names of inner (_y, _i, _low) and outer (_y, _o, _low) of a year of which the first lies in the second.  Names are
+    joined on the first three characters of the inner and all runs of three of the outer one; shorter names by the year alone."""
+    o = outer.select(F.col("_y"), F.col("_o"), F.col("_low").alias("_in"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_in") - 2), lambda k: F.substring("_in", k, F.lit(3))))
+    long = inner.where(F.length("_low") >= 3).withColumn("_key", F.substring("_low", 1, 3)).join(o.where(F.length("_in") >= 3).select("*", F.explode(runs).alias("_key")), ["_y", "_key"])
+    short = inner.where(F.length("_low") < 3).join(o, "_y")
+    return long.select("_y", "_i", "_o", "_low", "_in").unionByName(short.select("_y", "_i", "_o", "_low", "_in")).where(F.contains("_in", F.col("_low"))).select("_y", "_i", "_o")
+
+
 def resolved_name(names: DataFrame, papers: DataFrame) -> DataFrame:
     """asked -> the stored name of the same year: the equal one, else one that holds it or is held by it, with most visible,
     then most questions, the last version, the least name (J17).  Different names, not papers, are compared."""
     known = papers.where(~F.coalesce("lifecycle_status", F.lit("")).isin("archived", "replaced")).groupBy(collapse("exam_name").alias("_name"), F.col("exam_year").alias("_y"))
     known = known.agg(F.max(F.struct(F.coalesce("visible", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("t"), F.coalesce("upload_version", F.lit(0)).alias("u"))).alias("_rank"))
-    a, b = F.lower(collapse("asked")), F.lower("_name")
-    hits = names.distinct().join(known, (F.col("exam_year") == F.col("_y")) & (F.contains(b, a) | F.contains(a, b)), "left")
-    best = winners(hits, ["asked", "exam_year"], [(a == b).desc_nulls_last(), F.col("_rank").desc_nulls_last(), F.col("_name").asc()])
+    named = names.distinct().withColumn("_a", F.lower(collapse("asked")))
+    left, right = named.select(F.col("exam_year").alias("_y"), F.col("asked").alias("_i"), F.col("_a").alias("_low")), known.select("_y", F.col("_name").alias("_o"), F.lower("_name").alias("_low"))
+    swapped = _containing(right.withColumnRenamed("_o", "_i"), left.withColumnRenamed("_i", "_o")).select("_y", F.col("_o").alias("_i"), F.col("_i").alias("_o"))
+    pairs = _containing(left, right).unionByName(swapped).distinct().join(known.withColumnRenamed("_name", "_o"), ["_y", "_o"])
+    hits = named.join(pairs, (F.col("exam_year") == F.col("_y")) & (F.col("asked") == F.col("_i")), "left").withColumnRenamed("_o", "_name")
+    best = winners(hits, ["asked", "exam_year"], [(F.col("_a") == F.lower("_name")).desc_nulls_last(), F.col("_rank").desc_nulls_last(), F.col("_name").asc()])
     return best.select("asked", "exam_year", F.coalesce("_name", collapse("asked")).alias("exam_name"))
 
 

@@ -145,3 +145,21 @@ def test_running_stats_stream(spark, tmp_path):
         right, days = sum(bool(r[3]) for r in own), sorted({r[2].date() for r in own})
         streak = next(k for k in range(1, len(days) + 1) if k == len(days) or days[-k - 1] != days[-k] - dt.timedelta(days=1))
         assert newest[uid][1] == (len(own), right, 10 * right + 2 * (len(own) - right), streak, days[-1], [str(r[1]) for r in own[::-1][:20]])
+
+
+def test_resolved_names(spark):
+    """The best name that holds the asked one or lies in it, by comparing all of them."""
+    rng = random.Random(3)
+    words = ["a", "ab", "abc", "UPSC", "upsc ias", "ias", "SSC CGL", "CGL", "", "b c", "ssc  cgl tier", "x"]
+    names = [(rng.choice(words), rng.choice([2020, 2021])) for _ in range(40)]
+    papers = [(rng.choice(words), rng.choice([2020, 2021]), rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 3), rng.choice([None, "archived", "x"])) for _ in range(60)]
+    kinds = "asked string, exam_year int", "exam_name string, exam_year int, visible int, total int, upload_version int, lifecycle_status string"
+    got = {(r.asked, r.exam_year): r.exam_name for r in upkeep.resolved_name(spark.createDataFrame(names, kinds[0]), spark.createDataFrame(papers, kinds[1])).collect()}
+    tidy, known = (lambda s: " ".join(s.split())), {}
+    for name, year, *rank, status in papers:
+        if status != "archived":
+            known[tidy(name), year] = max(known.get((tidy(name), year), []), rank)
+    for asked, year in set(names):
+        low = tidy(asked).lower()
+        hits = [(name.lower() != low, [-x for x in rank], name) for (name, y), rank in known.items() if y == year and (low in name.lower() or name.lower() in low)]
+        assert got[asked, year] == (min(hits)[2] if hits else tidy(asked))
