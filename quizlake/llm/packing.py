@@ -8,15 +8,15 @@ window is padded.
 
 A tail finds its place without a global sort: its rank among tails of its length is a rank inside its partition, made
 while tokenising, plus the count of such tails in earlier partitions.
-Tokens that the texts make are those of the tokenizer file, whose path is a parameter.  Words between single blanks are
-encoded once and remembered; texts in which blanks meet other white space, or that hold a special token, are encoded whole.
-Null and empty texts are the end id alone.  Repeated rows are packed as often as they occur.
+Tokens that the texts make are those of the tokenizer file, whose path is a parameter.  A text is encoded whole, in one
+call; no words are remembered, since their number grows with the input.  Null and empty texts are the end id alone.
+Repeated rows are packed as often as they occur.
 """
 
 from __future__ import annotations
 
+import functools
 import json
-import re
 import zlib
 
 import numpy as np
@@ -24,26 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Memo, Scratch, prepare
+from .base import Scratch, prepare
 
 WINDOW = 1024
 #: Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBES = ["", "a", " a", "It's 12 o'clock\n\n and  more\t", "naïve Straße — 東京 🙂 x_y z...", "  \r\n tail "]
-UNSAFE = re.compile(r" \s|\s |^ | $")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@functools.cache
 def encoder(path: str):
-    """text -> bytes of little-endian 32-bit ids, equal to those of tokenizers with add_special_tokens=False."""
+    """text -> bytes of little-endian 32-bit ids, equal to those of tokenizers with add_special_tokens=False; built once a Python worker."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = [t["content"] for t in spec.get("added_tokens", [])]
-    by_library = lambda text: slow.encode(text, add_special_tokens=False).ids
-    fast = by_library
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    by_library = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    fast = None
     try:
         import tiktoken
 
@@ -51,21 +51,20 @@ def encoder(path: str):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if all(ordinary(x) == by_library(x) for x in PROBES):
-            fast = ordinary
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        whole = lambda text: own.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if all(whole(x) == by_library(x) for x in PROBES):
+            fast = whole
     except (ImportError, KeyError, ValueError):
         pass  # a vocabulary of another kind: the library itself encodes
-    raw = lambda text: np.array(fast(text), "<u4").tobytes()
-    memo = Memo(lambda part: raw(" " + part), 300_000)
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(by_library(text), "<u4").tobytes()
-        if fast is by_library or UNSAFE.search(text):
-            return raw(text)
-        first, *rest = text.split(" ")
-        return raw(first) + b"".join([memo[p] if len(p) <= 48 else raw(" " + p) for p in rest])
+        if fast and not any(s in text for s in special):
+            try:
+                return fast(text)
+            except ValueError:
+                pass  # white space of a million characters in a row overflows the stack of its pattern matcher
+        return by_library(text)
 
     return encode
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quizlake.llm import neardup, quality, toxicity
+from quizlake.llm import neardup, packing, quality, toxicity
+from quizlake.llm.registry import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,3 +209,26 @@ def test_stages_on_rows_with_gaps(spark, name, stage):
     else:
         assert out.columns == docs.columns and {r.doc_id for r in found} == {1, 2, 3, 4, 5, None}
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_encodes_each_text_in_one_call(monkeypatch):
+    """A call for every new word took most of the operator's time."""
+    import tiktoken
+
+    encode, calls = packing.encoder(tokenizer_path()), []
+    for name in ("encode", "encode_ordinary", "encode_to_numpy"):
+        real = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda *a, _real=real, **k: calls.append(1) or _real(*a, **k))
+    encode(" ".join(f"{WORDS[i % 12]}{i}" for i in range(500)))
+    assert len(calls) == 1
+
+
+def test_packing_ids_are_those_of_the_library():
+    """Random texts of blanks of all kinds, marks and scripts; a special token; white space too long for the pattern matcher."""
+    from tokenizers import Tokenizer
+
+    encode, library, rng = packing.encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(5)
+    signs = "ab Z9.'\n\t \r\u00a0\u3000\x1c\x85\u200b\u00e9\u0301\u6771\U0001f642_stdmlverS"
+    texts = ["", "<|endoftext|>", "x <|endoftext|> y", "z" * 5000, " " * 2_000_000 + "x", *("".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(3000))]
+    for text in texts:
+        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
