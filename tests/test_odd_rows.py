@@ -27,3 +27,7 @@ def agrees(spark, folder, name, table, rows, kinds):
 def test_block_numbers_beyond_the_largest(spark, tmp_path):
     rows = agrees(spark, tmp_path, "c26_block_audit", "documents", [document(n) for n in (0, 1, 9998, *range(9999, 10010), 20012)], DOCUMENTS)
     assert len(rows) == 15
+
+
+def test_pages_of_block_numbers_beyond_the_largest(spark, tmp_path):
+    agrees(spark, tmp_path, "a34_page_readiness", "documents", [document(n) for n in (0, 1, 9998, *range(9999, 10010), 20012)], DOCUMENTS)
