@@ -30,19 +30,15 @@ ANSWERS = "array<struct<number:int,answer:string>>"
 
 def letter(x) -> Column:
     """A to D, DELETED for X, `B|C` for two different letters, else null."""
-    x = F.upper(F.trim(col(x)))
-    two = x.rlike("^[A-D]{2}$") & (F.substring(x, 1, 1) != F.substring(x, 2, 1))
-    out = F.when(x.isin(*LABELS), x).when(two, F.concat_ws("|", F.substring(x, 1, 1), F.substring(x, 2, 1)))
-    for code, to in CODES.items():
-        out = out.when(x == code, F.lit(to))
-    return out
+    told = {x: x for x in LABELS} | {a + b: f"{a}|{b}" for a in LABELS for b in LABELS if a != b} | CODES
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in told.items() for v in pair)), F.upper(F.trim(col(x))))
 
 
 def one_each(found: Column, last: bool = False) -> Column:
     """(number, answer) pairs by number, the first or last of each; null answers and numbers out of range count for nothing."""
     placed = F.transform(found, lambda x, i: F.struct(x["number"].alias("number"), (-i if last else i).alias("at"), x["answer"].alias("answer")))
     valid = F.filter(placed, lambda x: x["number"].between(1, LAST_NUMBER) & x["answer"].isNotNull())
-    chosen = F.transform(F.array(F.array_sort(valid)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["number"] != x["number"])))[0]
+    chosen = F.transform(F.array(F.sort_array(valid)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["number"] != x["number"])))[0]
     return F.transform(chosen, lambda x: F.struct(x["number"].alias("number"), x["answer"].alias("answer"))).cast(ANSWERS)
 
 
@@ -71,9 +67,8 @@ def merged(answers, more) -> Column:
 def coverage(answers, expected) -> Column:
     """The share of 1..expected that has an answer; without a count up to the largest number."""
     a = col(answers)
-    top = F.coalesce(F.array_max(F.transform(a, lambda x: x["number"])), F.lit(DEFAULT_COUNT))
-    n = F.when(col(expected) > 0, col(expected)).otherwise(top)
-    return F.size(F.filter(a, lambda x: x["number"] <= n)) / n
+    top = F.coalesce(F.array_max(a)["number"], F.lit(DEFAULT_COUNT))
+    return F.when(col(expected) > 0, F.size(F.filter(a, lambda x: x["number"] <= col(expected))) / col(expected)).otherwise(F.size(a) / top)
 
 
 def parsed(text, expected) -> Column:
@@ -89,19 +84,27 @@ def paper_set(pages) -> Column:
     return F.get(F.filter(found, lambda x: x != ""), F.lit(0))
 
 
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with this column, computed once: it comes from a generator, so no filter on it or on what is made of it is pushed below."""
+    return df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
+
+
 def by_set(df: DataFrame, text: str, expected: str) -> DataFrame:
-    """df with sets, an array of (label, answers): by headed sections, else by rows of four columns, else one key for all labels."""
+    """df with sets, an array of (label, answers): by headed sections, else by rows of four columns, else one key for all labels.
+    A text is read in the next way only if the one before it gave fewer than two sets."""
     t = F.coalesce(F.col(text), F.lit(""))
-    pieces = F.filter(F.split(t, f"(?i)(?={HEADER})"), lambda p: p.rlike(f"(?i)^{HEADER}"))
-    sections = F.transform(pieces, lambda p: F.struct(F.upper(F.regexp_extract(p, f"(?i)^{HEADER}", 1)).alias("label"), parsed(p, expected).alias("answers")))
-    df = df.withColumn("_sections", F.when(F.size(pieces) >= 2, sections).otherwise(F.slice(sections, 1, 0)))
-    last = lambda k: F.try_element_at(F.filter("_sections", lambda s: (s["label"] == k) & (F.size(s["answers"]) > 0)), F.lit(-1))["answers"]
-    df = df.withColumn("_headed", F.array(*(last(k) for k in LABELS)))
-    columns = F.array(*(one_each(_pairs(t, ROW, i + 2), last=True) for i in range(len(LABELS))))
-    df = df.withColumn("_columns", F.transform(columns, lambda a: F.when(coverage(a, expected) > LEAST_COVERAGE, a)))
     few = lambda c: F.size(F.filter(c, lambda a: a.isNotNull())) < 2
-    df = df.withColumn("_sets", F.when(few("_headed"), F.zip_with("_columns", "_headed", lambda x, y: F.coalesce(x, y))).otherwise(F.col("_headed")))
-    one = F.array_repeat(parsed(t, expected), len(LABELS))
-    df = df.withColumn("_sets", F.when(few("_sets"), one).otherwise(F.col("_sets")))
-    named = F.zip_with(F.array(*map(F.lit, LABELS)), "_sets", lambda k, a: F.struct(k.alias("label"), a.alias("answers")))
-    return df.withColumn("sets", F.filter(named, lambda s: s["answers"].isNotNull())).drop("_sections", "_headed", "_columns", "_sets")
+    df = _once(df, "_pieces", F.filter(F.split(t, f"(?i)(?={HEADER})"), lambda p: p.rlike(f"(?i)^{HEADER}")))
+    sections = F.transform("_pieces", lambda p: F.struct(F.upper(F.regexp_extract(p, f"(?i)^{HEADER}", 1)).alias("label"), parsed(p, expected).alias("answers")))
+    df = _once(df, "_sections", F.when(F.size("_pieces") >= 2, sections).otherwise(F.array().cast(f"array<struct<label:string,answers:{ANSWERS}>>")))
+    last = lambda k: F.try_element_at(F.filter("_sections", lambda s: (s["label"] == k) & (F.size(s["answers"]) > 0)), F.lit(-1))["answers"]
+    df = _once(df, "_headed", F.array(*(last(k) for k in LABELS)))
+    rows = F.transform(F.regexp_extract_all(t, F.lit(ROW), F.lit(0)), lambda m: F.split(m, r"\s+"))  # number and four letters
+    df = _once(df, "_rows", F.when(few("_headed"), rows))
+    column = lambda i: F.transform("_rows", lambda r: F.struct(r[0].cast("int").alias("number"), letter(r[i]).alias("answer")))
+    columns = F.array(*(one_each(column(i + 1), last=True) for i in range(len(LABELS))))
+    covering = F.transform(columns, lambda a: F.when(coverage(a, expected) > LEAST_COVERAGE, a))
+    df = _once(df, "_sets", F.when(few("_headed"), F.zip_with(covering, "_headed", lambda x, y: F.coalesce(x, y))).otherwise(F.col("_headed")))
+    df = _once(df, "_told", F.when(few("_sets"), F.array_repeat(parsed(t, expected), len(LABELS))).otherwise(F.col("_sets")))
+    named = F.zip_with(F.array(*map(F.lit, LABELS)), "_told", lambda k, a: F.struct(k.alias("label"), a.alias("answers")))
+    return _once(df, "sets", F.filter(named, lambda s: s["answers"].isNotNull())).drop("_pieces", "_sections", "_headed", "_rows", "_sets", "_told")
